@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import exact, mixing, urlfilter
+from tallyspark.llm import exact, mixing, packing, topk, urlfilter, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_topk_search": topk.op2_topk_search,
     "op5_url_filters": urlfilter.op5_url_filters,
     "op6_exact_dedup": exact.op6_exact_dedup,
+    "op7_packing": packing.op7_packing,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.SQL,
+    "op2_topk_search": topk.SQL,
     "op5_url_filters": urlfilter.SQL,
     "op6_exact_dedup": exact.SQL,
     "op10_mixing": mixing.SQL,
