@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import exact, mixing, packing, topk, urlfilter, warc
+from tallyspark.llm import exact, mixing, packing, quality, topk, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_url_filters": urlfilter.op5_url_filters,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_packing": packing.op7_packing,
+    "op8_quality": quality.op8_quality,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 
