@@ -124,9 +124,19 @@ def windows(words: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> np.nda
     return mix(out)
 
 
+_KEPT: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _KEPT or len(_KEPT[base][0]) < n:
+        size = max(n, 1 << 15)
+        _KEPT[base] = _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
+    return _KEPT[base]
+
+
 def rolling(words: np.ndarray, base: int):
     """Prefix form of a polynomial hash: span(start, end) hashes any stretch of words in O(1)."""
-    up, down = _powers(base, len(words) + 1), _powers(pow(base, -1, 1 << 64), len(words) + 1)
+    up, down = _tables(base, len(words) + 1)
     total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[: len(words)], out=total[1:])
 
