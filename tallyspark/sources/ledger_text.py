@@ -390,7 +390,7 @@ def parse(text: str, filename: str = "<text>") -> File:
                 if key not in [k for k, _ in metas]:
                     raise ParseError(f"popmeta of {key}, which was not pushed", filename, first.line)
                 del metas[max(i for i, (k, _) in enumerate(metas) if k == key)]
-        elif first.kind in ("word", "key", "account", "number", "string", "currency"):
+        elif first.kind in ("word", "key", "account", "number", "string", "currency", "link"):
             line.fail("a directive")
         else:
             continue  # an outline heading or other line that is not ledger text
