@@ -11,7 +11,7 @@ from tallyspark.plans import values as V
 from tallyspark.plans.values import Kind, Typed
 
 BUCKETS = 64
-_FLAT = f"currency string, cost {V.COST}, number decimal(38,10), scale int"
+_SEED = -(1 << 63)  # ord of what a bucket starts with
 
 
 def positions_of(x: Typed) -> Column:
@@ -53,13 +53,13 @@ def running(rows: DataFrame, position: Column, name: str, buckets: int = BUCKETS
     following = Window.partitionBy("currency", "cost").orderBy("bucket")
     carried = carried.withColumn("until", F.coalesce(F.lead("bucket").over(following), F.lit(buckets)))
     carried = carried.select(F.explode(F.sequence(F.col("bucket") + 1, F.greatest("until", F.col("bucket") + 1))).alias("bucket"), "currency", "cost", "number", "scale")
-    seeds = carried.filter("number <> 0").select(F.lit(None).cast("bigint").alias("ord"), "bucket", "currency", "cost", "number", "scale")
+    seeds = carried.filter("number <> 0").select(F.lit(_SEED).alias("ord"), "bucket", "currency", "cost", "number", "scale")
 
     def fold(key, group):
         import pandas as pd
 
         lots: dict = {}
-        group = group.sort_values("ord", na_position="first", kind="stable")
+        group = group.sort_values("ord", kind="stable")
         out = []
         for o, currency, cost, n, scale in zip(group["ord"], group["currency"], group["cost"], group["number"], group["scale"], strict=True):
             if currency is not None:
@@ -70,7 +70,7 @@ def running(rows: DataFrame, position: Column, name: str, buckets: int = BUCKETS
                     lots[at] = total
                 else:
                     lots.pop(at, None)
-            if o == o and o is not None:
+            if o != _SEED:
                 held = [{"number": n, "scale": s, "currency": c, "cost": None if k is None else dict(zip(("number", "scale", "currency", "date", "label"), k, strict=True))} for (c, k), (n, s) in lots.items()]
                 out.append((int(o), held))
         return pd.DataFrame(out, columns=["ord", "held"])

@@ -86,7 +86,7 @@ class PriceBook:
             import pandas as pd
 
             found = paths(list(rows[["source", "target", "rate", "ord"]].itertuples(index=False, name=None)))
-            return pd.DataFrame([(key[0], t, s, r) for (s, t), r in found.items()], columns=["date", "target", "source", "rate"])
+            return pd.DataFrame([(key[0], t, s, round(r, 10)) for (s, t), r in found.items()], columns=["date", "target", "source", "rate"])
 
         rows = self.direct_by_date(dates).groupBy("date").applyInPandas(walk, f"date date, target string, source string, rate {RATE}")
         one = rows.groupBy("date", "target").agg(F.map_from_entries(F.collect_list(F.struct("source", "rate"))).alias("rates"))
