@@ -9,18 +9,26 @@ sequence and offset, and are joined back by rank (a table whose size depends on
 only, hence broadcast). Ranks are counted in buckets of doc_id and shifted by the buckets' counts,
 so that no task sees all documents of one length.
 
-Tokenizing works on units between single spaces, which are always boundaries of the byte-level
-splitter; the ids of units seen before are looked up, as most are.
+A sequence still open at 256 or 512 tokens would cost no padding; the patterns do not use this, as
+they leave some thousandths of padding anyway.
+
+Tokenizing works on units between single spaces or newlines, which are always boundaries of the
+byte-level splitter; the ids of units seen before are looked up, as most are. The memory for units
+is bounded in units and in characters; when it is full, the units met most often stay.
 Nulls: a null text is empty (id 0 alone); a null doc_id is an ordinary one. Repeated rows are packed
-one by one. Empty table: empty result.
+one by one; ties of length go by doc_id. Very long texts: tokenized in segments of ``PORTION``
+characters, batches are read some megabytes at a time; what is held of one document is its text
+and its ids. Empty table: empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
 from functools import cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +36,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.llm import _text
 from tallyspark.llm._store import Scratch
 
 LENGTH, END = 1024, 0
-BUCKET_ROWS, LEAST_BUCKETS, UNITS, JOINED = 100_000, 64, 1_000_000, 20_000
-_ODD = re.compile(r" \s|\s ")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+BUCKET_ROWS, LEAST_BUCKETS, JOINED = 100_000, 64, 20_000
+UNITS, UNIT_CHARS, PORTION, BATCH_BYTES = 300_000, 1 << 23, 1 << 19, 1 << 22
+_CUT = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n\S))")
 
 
 @cache
 def tokenizer(vocabulary: str | None):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     if vocabulary is None:
@@ -48,104 +58,135 @@ def tokenizer(vocabulary: str | None):
 
 
 class Encoder:
-    """Same ids as ``Tokenizer.encode(text, add_special_tokens=False)``, with a memory for units."""
+    """Same ids as ``Tokenizer.encode(text, add_special_tokens=False)``, with a memory for units.
+
+    A unit's key tells how it stands in its text: ``" x"`` at the start, ``"\\nx"`` after a newline,
+    ``"x"`` after a space.
+    """
 
-    def __init__(self, model):
-        self.model = model
+    def __init__(self, model, units: int = UNITS, unit_chars: int = UNIT_CHARS, portion: int = PORTION):
+        self.model, self.most, self.most_chars, self.portion = model, units, unit_chars, portion
         added = [t.content for t in model.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         vocabulary = model.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():  # in the byte-level alphabet a character stands for a byte
             self.n_bytes[number] = len(token)
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.start = np.zeros(1, np.int64)
-
-    def _learn(self, units: list[str]) -> None:
-        inner = [u for u in units if u[0] == " " and not u[-1].isspace()]
-        outer = [u for u in units if not (u[0] == " " and not u[-1].isspace())]
-        units = outer + inner
-        got = [np.array(x.ids, np.uint32) for x in self.model.encode_batch_fast(outer, add_special_tokens=False)]
-        sizes = [np.fromiter(map(len, got), np.int64, len(got))]
-        for i in range(0, len(inner), JOINED):  # set one after another, such units keep their bounds: one call for many
-            some = inner[i : i + JOINED]
-            ids = np.array(self.model.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(np.fromiter((len(u.encode()) for u in some), np.int64, len(some)))
-            n = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            sizes.append(np.diff(n, prepend=0))
+        self._keep([], np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def _keep(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray, met: np.ndarray) -> None:
+        self.index: dict[str, int] = defaultdict(count(len(keys)).__next__)  # a new key gets the next number
+        self.index.update(zip(keys, range(len(keys)), strict=True))
+        self.ids, self.sizes, self.met = ids, sizes, met
+        self.start = np.cumsum(sizes) - sizes
+        self.chars = sum(map(len, keys))
+
+    def _shrink(self) -> None:
+        """Keeps the units met most often, half as many as fit; all counts are halved."""
+        long = np.fromiter(map(len, self.index), np.int64, len(self.index))
+        best = np.argsort(-self.met, kind="stable")
+        best = best[np.cumsum(long[best]) <= self.most_chars // 2][: self.most // 2]
+        best = np.sort(best[self.met[best] > 1])
+        keys = list(self.index)
+        self._keep([keys[i] for i in best.tolist()], self._gather(best), self.sizes[best], self.met[best] // 2)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        size = self.sizes[at]
+        return self.ids[np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+    def _learn(self, keys: list[str]) -> None:
+        alone = np.array([k[0] == " " or k[-1].isspace() for k in keys], bool)
+        texts = [k[1:] if k[0] == " " else k if k[0] == "\n" else " " + k for k in keys]
+        sizes, start, got, n = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64), [self.ids], len(self.ids)
+        single, others = np.flatnonzero(alone), np.flatnonzero(~alone)
+        for i, found in zip(single.tolist(), self.model.encode_batch_fast([texts[i] for i in single.tolist()], add_special_tokens=False), strict=True):
+            got.append(np.array(found.ids, np.uint32))
+            sizes[i], start[i] = len(got[-1]), n
+            n += len(got[-1])
+        for j in range(0, len(others), JOINED):  # set one after another, such units keep their bounds: one call for many
+            some = others[j : j + JOINED]
+            parts = [texts[i] for i in some.tolist()]
+            joined = "".join(parts)
+            ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            first_bytes = np.append(np.flatnonzero((np.frombuffer(data := joined.encode(), np.uint8) & 0xC0) != 0x80), len(data))
+            ends = first_bytes[np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]
+            to = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
+            sizes[some] = np.diff(to, prepend=0)
+            start[some] = n + to - sizes[some]
             got.append(ids)
-        sizes = np.concatenate(sizes)
-        at = int(self.start[len(self.index)])
-        need = at + int(sizes.sum())
-        if need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(max(need - len(self.ids), len(self.ids)), np.uint32)])
-        if got:
-            self.ids[at:need] = np.concatenate(got)
-        n = len(self.index)
-        self.index.update(zip(units, range(n, n + len(units)), strict=True))
-        if n + len(units) + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.empty(len(self.start) + len(units), np.int64)])
-        self.start[n + 1 : n + 1 + len(units)] = at + np.cumsum(sizes)
-
-    def _units(self, text: str) -> list[str] | None:
-        if not text:
-            return []
-        if self.special and self.special.search(text):
-            return None
-        if _ODD.search(text) or text[0] == " " or text[-1] == " ":
-            parts = _CUT.split(text)
+            n += len(ids)
+        self.ids, self.start, self.sizes = np.concatenate(got), np.concatenate([self.start, start]), np.concatenate([self.sizes, sizes])
+        self.met = np.concatenate([self.met, np.zeros(len(keys), np.int64)])
+        self.chars += sum(map(len, keys))
+
+    @staticmethod
+    def _keys(text: str, first: bool) -> list[str]:
+        if len(text.split()) == text.count(" ") + text.count("\n") + 1:  # single spaces and newlines between words only
+            parts = text.replace("\n", " \n").split(" ")
         else:
-            parts = text.split(" ")
-        return [parts[0], *map(" ".__add__, parts[1:])]
+            parts = _CUT.split(text)
+        if first:
+            parts[0] = " " + parts[0]
+        return parts
+
+    def _segments(self, text: str):
+        at, first = 0, True
+        while len(text) - at > self.portion and (cut := _CUT.search(text, at + self.portion)):
+            yield self._keys(text[at : cut.start()], first)
+            at, first = cut.end(), False
+        yield self._keys(text[at:], first)
+
+    def _known(self, keys: list[str]) -> np.ndarray:
+        """Ids and their number for each of the keys."""
+        if len(self.sizes) > self.most or self.chars > self.most_chars:
+            self._shrink()
+        known = len(self.sizes)
+        at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        if new := len(self.index) - known:
+            self._learn(list(islice(reversed(self.index), new))[::-1])
+        self.met += np.bincount(at, minlength=len(self.met))
+        return at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        units = [self._units(t) for t in texts]
-        if len(self.index) > UNITS:
-            self.forget()
-        seen = set()
-        seen.update(*(u for u in units if u))
-        if new := seen.difference(self.index):
-            self._learn(list(new))
-        out = []
-        for text, own in zip(texts, units, strict=True):
-            if own is None:
-                out.append(np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            at = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
-            first, size = self.start[at], self.start[at + 1] - self.start[at]
-            into = np.cumsum(size) - size
-            out.append(self.ids[np.repeat(first - into, size) + np.arange(int(size.sum()))])
-        return out
-
-
-def _portions(texts: list[str | None], most: int = 1 << 21):
-    """Stretches of the texts of about ``most`` characters each."""
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n < most):
-            n += len(texts[j] or "")
-            j += 1
-        yield i, j
-        i = j
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        keys, owner, ends, n = [], [], [], 0
+
+        def flush():
+            nonlocal keys, owner, ends, n
+            if keys:
+                at = self._known(keys)
+                bounds = np.cumsum(self.sizes[at])[np.array(ends) - 1]
+                for i, ids in zip(owner, np.split(self._gather(at), bounds[:-1]), strict=True):
+                    out[i].append(ids)
+            keys, owner, ends, n = [], [], [], 0
+
+        for i, text in enumerate(texts):
+            if self.special and self.special.search(text):
+                flush()
+                out[i].append(np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32))
+            elif text:
+                for part in self._segments(text):
+                    keys += part
+                    owner.append(i)
+                    ends.append(len(keys))
+                    n += sum(map(len, part)) if len(part) < 64 else len(part) * 8
+                    if n >= self.portion:
+                        flush()
+        flush()
+        return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.empty(0, np.uint32) for x in out]
 
 
 def _tokens(vocabulary: str | None, length: int):
     def run(batches):
         encoder = tokenizer(vocabulary)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = [doc_ids, [], []]
-            for i, j in _portions(texts):
-                for ids in encoder.encode([t or "" for t in texts[i:j]]):
-                    ids = np.append(ids, np.uint32(END)).astype("<u4")
-                    out[1].append(len(ids))
-                    out[2].append([zlib.crc32(ids[k : k + length].tobytes()) for k in range(0, len(ids), length)])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crcs"])
+            for part in _text.slices(batch, 1, BATCH_BYTES):
+                tokens, crcs = [], []
+                for ids in encoder.encode([t or "" for t in part.column(1).to_pylist()]):
+                    ids = np.append(ids, np.uint32(END)).astype("<u4", copy=False)
+                    tokens.append(len(ids))
+                    crcs.append([zlib.crc32(ids[k : k + length]) for k in range(0, len(ids), length)])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crcs"])
 
     return run
 
