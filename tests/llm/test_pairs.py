@@ -130,13 +130,30 @@ def test_substring_dedup(spark, seed, monkeypatch):
     found = substring.remove_repeats(frame(spark, rows), kept_text=True).collect()
     assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found} == brute_substring(rows)
     assert len(found) == len(rows) and any(r.n_removed for r in found)
+    texts = {(i, hashlib.sha256(" ".join(words(t)).encode()).hexdigest()): words(t) for i, t in rows}
+    by_id = defaultdict(list)
+    for i, t in rows:
+        by_id[i].append(words(t))
+    copies = 0
     for r in found:
-        if r.factors:
-            assert all(f.length >= 50 for f in r.factors)
-
-
-def test_factors_chain_windows():
-    assert substring.factors(200, np.array([3, 4, 5, 90])) == [(3, 52), (90, 50)]
+        if r.phrases:  # the phrases tile the text, and each copied one stands in its source where they say
+            assert sum(p.length for p in r.phrases) == r.n_words and sum(p.length for p in r.phrases if p.source is not None) == r.n_removed
+            end = 0
+            mine = [w for w in by_id[r.doc_id] if len(w) == r.n_words]
+            for p in r.phrases:
+                assert p.start == end
+                end += p.length
+                if p.source is not None:
+                    copies += 1
+                    assert p.source < (2**63 - 1 if r.doc_id is None else r.doc_id)
+                    assert any(w[p.start : end] == o[p.place : p.place + p.length] for w in mine for o in by_id[p.source])
+    assert copies and len(texts) <= len(rows)
+
+
+def test_parse_follows_one_source_at_a_time():
+    at, source, place = np.array([3, 4, 5, 6, 90]), np.array([0, 0, 0, 1, 2]), np.array([10, 11, 12, 13, 7])
+    assert substring.parse(200, at, source, place) == [(0, 3, None, None), (3, 52, 0, 10), (55, 1, 1, 62), (56, 34, None, None), (90, 50, 2, 7), (140, 60, None, None)]
+    assert substring.parse(5, at[:0], source[:0], place[:0]) == [(0, 5, None, None)] and substring.parse(0, at[:0], source[:0], place[:0]) == []
 
 
 def brute_links(rows, k=5):
@@ -163,7 +180,7 @@ def brute_links(rows, k=5):
     return {(rows[a][0], len(sets[a]), None if least[find(a)] == 2**63 else least[find(a)]) for a in range(len(rows))}
 
 
-@pytest.mark.parametrize("options", [{}, {"frequent": 2, "counters": 1 << 10}, {"frequent": 2, "combined": 20, "part": 2}])
+@pytest.mark.parametrize("options", [{}, {"least": 2, "counters": 1 << 16}, {"least": 2, "counters": 1 << 16, "combined": {2: 20, 3: 10}, "part": 2, "cell": 3, "rounds": 1}, {"rounds": 0, "worth": 1}])
 def test_jaccard_join(spark, options):
     rows = some_texts(5, 90)
     base = [f"n{i}" for i in range(60)]
@@ -177,6 +194,50 @@ def test_jaccard_join(spark, options):
     assert any(c is not None and c != i for i, _, c in found)
 
 
+def near_copies(n, changes, size=200, seed=9):
+    """A text and n - 1 copies of it with so many words changed at random places."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(size)]
+    rows = [(1, " ".join(base))]
+    for i in range(1, n):
+        copy = list(base)
+        for at in rng.choice(size, changes, replace=False):
+            copy[at] = f"c{i}x{at}"
+        rows.append((i + 1, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("changes", [2, 4, 6])
+def test_jaccard_pairs_grow_with_the_group(spark, changes):
+    """4 of 200 words changed: copies are just above the threshold to the original, and below it to each other."""
+    pairs = []
+    for n in (60, 120):
+        rows = near_copies(n, changes)
+        join = jaccard.Join(frame(spark, rows).select("doc_id", "text"), least=8, counters=1 << 16)
+        assert {(r.doc_id, r.n_shingles, r.component_id) for r in join.classes().collect()} == brute_links(rows)
+        pairs.append(join.verified_pairs)
+    assert pairs[1] <= 2.5 * pairs[0] + 20
+
+
+def test_jaccard_indexes_combinations_of_frequent_tokens(spark):
+    rows = near_copies(30, 1, 60) + [(100 + i, f"{i} other words of a document that nobody else has {i}") for i in range(10)]
+    join = jaccard.Join(frame(spark, rows).select("doc_id", "text"), least=5, counters=1 << 16)
+    join.classes()
+    index = spark.read.parquet(f"{join.store.path}/entries")
+    assert index.filter("key IS NOT NULL AND combined").count() > index.filter("key IS NOT NULL AND NOT combined").count()
+
+
+def test_jaccard_long_text_and_common_passage(spark):
+    rng = np.random.default_rng(4)
+    passage = " ".join(f"p{i}" for i in range(80))
+    long = " ".join(map(str, rng.integers(0, 10**6, 200_000)))
+    rows = [(i, f"{passage} " + " ".join(map(str, rng.integers(0, 10**6, 12)))) for i in range(40)] + [(90, long), (91, long + " more"), (92, long[: len(long) // 2])]
+    docs = frame(spark, rows)
+    found = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.Join(docs.select("doc_id", "text")).classes().collect()}
+    assert found == brute_links(rows)
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(docs).collect()} == brute_substring(rows)
+
+
 def test_jaccard_dedup_keeps_one_of_each_group(spark):
     rows = [(i, t) for i, t in some_texts(6, 40) if i is not None] + [(77, "same text again and again here"), (78, "same text again and again here"), (78, "same text again and again here")]
     kept = [r.doc_id for r in jaccard.dedup(frame(spark, rows)).collect()]
@@ -216,6 +277,23 @@ def test_topk_search(spark):
     assert set(found) == {i for i in asked if any(j != i and len(v) == len(asked[i]) for j, v in good)}
 
 
+def test_threshold_walk_scores_few_rows_where_its_bound_allows():
+    rng = np.random.default_rng(6)
+    rows = np.floor(rng.normal(0, 1, (4000, 16)) * np.array([90, 60, 30] + [1] * 13) * 100)
+    block, shares = topk.Block(np.arange(4000), rows), []
+    for i in range(0, 4000, 400):
+        block.scored = 0
+        ids, scores = block.top(rows[i], i, 10)
+        every = rows @ rows[i]
+        every[i] = -np.inf
+        assert scores.tolist() == sorted(every.tolist(), reverse=True)[:10]
+        assert [j for j in ids.tolist()] == sorted(ids.tolist(), key=lambda j: (-every[j], j))
+        shares.append(block.scored / 4000)
+        found, some = block.top(rows[i], i, 10, floor=scores[4])  # an earlier block has rows as good as the fifth
+        assert some.tolist() == [s for s in scores.tolist() if s >= scores[4]]
+    assert np.median(shares) < 0.3
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(4)
     block = topk.Block(np.arange(2000), np.floor(rng.normal(0, 1, (2000, 2)) * 1024))
