@@ -27,4 +27,4 @@ def open_random(uri: str):
 
 def parquet_files(uri: str) -> list[tuple[fs.FileSystem, str]]:
     system, path = place(uri)
-    return [(system, f.path) for f in sorted(system.get_file_info(fs.FileSelector(path)), key=lambda f: f.path) if f.path.endswith(".parquet")]
+    return [(system, f.path) for f in sorted(system.get_file_info(fs.FileSelector(path, allow_not_found=True)), key=lambda f: f.path) if f.path.endswith(".parquet")]
