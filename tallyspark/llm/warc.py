@@ -6,12 +6,14 @@ end, and rewrites each record as a gzip member of its own, with a sidecar index
 that any record can later be read alone; on the way, records whose payload another record has
 already become revisits of it. ``read_back`` reads the members by the index and checks length and
 digest of every payload. Only digests and positions are shuffled, never payloads: the revisits
-travel to the file that holds them.
+are written by file, and each file is one task's work (as many tasks as files). Payloads are equal if their
+length, SHA-1 and SHA-256 are.
 
 Of records with equal payloads of at least ``least`` bytes that with the smallest page_id is the
 response (a null page_id sorts last; of repeated rows with the same page_id the first written).
-Nulls: a null html is an empty payload; a null url leaves out WARC-Target-URI. Empty table: no
-files, empty result. Files are named by task and attempt; the table of records, committed by
+Nulls: a null html is an empty payload; a null url leaves out WARC-Target-URI. Very long payloads: a record is held
+whole, some times over, while it is written or read, and never more than one beside some megabytes of a batch. Extra
+columns are ignored, whatever their names. Empty table: no files, empty result. Files are named by task and attempt; the table of records, committed by
 Spark, says which of them count, so that a lost executor leaves at most unused files.
 """
 
@@ -25,11 +27,13 @@ import zlib
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm import _files
+from tallyspark.llm import _files, _text
+from tallyspark.llm._skew import join_keys
 from tallyspark.llm._store import Scratch
 
 DATE = "2020-01-01T00:00:00Z"
@@ -120,7 +124,7 @@ def _write_raw(folder: str, file_bytes: int):
     def write(batches):
         task = TaskContext.get()
         name, number, out = f"{folder}/{task.partitionId():06d}-{task.attemptNumber()}-{uuid.uuid4().hex[:8]}", 0, None
-        for batch in batches:
+        for batch in (part for whole in batches for part in _text.slices(whole, 2)):
             rows: dict[str, list] = {"file": [], "seq": [], "page_id": [], "payload_bytes": [], "digest": []}
             for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 payload = (html or "").encode()
@@ -130,7 +134,7 @@ def _write_raw(folder: str, file_bytes: int):
                 digest = hashlib.sha1(payload).digest()
                 raw = record("response", page_id, url, base32(digest), payload, len(payload))
                 out.write(packer.compress(raw))
-                for key, value in zip(rows, (uri, seq, page_id, len(payload), digest), strict=True):
+                for key, value in zip(rows, (uri, seq, page_id, len(payload), digest + hashlib.sha256(payload).digest()), strict=True):
                     rows[key].append(value)
                 seq, size = seq + 1, size + len(raw)
                 if size >= file_bytes:
@@ -155,8 +159,8 @@ def revisits(raw: DataFrame, store: Scratch, least: int = 0) -> DataFrame:
     """(file, seq, refers_to) of the records that repeat the payload of another."""
     where = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "seq")
     firsts = raw.filter(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = store.table("firsts", firsts.filter("n > 1").drop("n"))
-    again = raw.join(firsts, ["digest", "payload_bytes"]).filter((F.col("file") != F.col("first.file")) | (F.col("seq") != F.col("first.seq")))
+    firsts = store.table("firsts", firsts.filter("n > 1"))
+    again = join_keys(raw, firsts, ["digest", "payload_bytes"], "n", raw.count()).filter((F.col("file") != F.col("first.file")) | (F.col("seq") != F.col("first.seq")))
     return again.select("file", "seq", F.col("first.page_id").alias("refers_to"))
 
 
@@ -177,23 +181,31 @@ def normalise_file(source: str, archive: str, index: str, repeats: dict[int, int
     return n
 
 
-def _normalise(folder: str):
-    def run(key, rows):
-        import pandas as pd
-
-        name = f"{folder}/{key[0].rpartition('/')[2].removesuffix('.warc.gz')}-{uuid.uuid4().hex[:8]}"
-        kept = rows[rows["seq"] >= 0]
-        repeats = {int(s): None if pd.isna(r) else int(r) for s, r in zip(kept["seq"], kept["refers_to"], strict=True)}
-        n = normalise_file(key[0], f"{name}.warc.gz", f"{name}.idx", repeats)
-        return pd.DataFrame({"archive": [f"{name}.warc.gz"], "index": [f"{name}.idx"], "records": [n]})
+def _normalise(folder: str, repeats: str):
+    def run(batches):
+        for batch in batches:
+            for source, number in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                name = f"{folder}/{source.rpartition('/')[2].removesuffix('.warc.gz')}-{uuid.uuid4().hex[:8]}"
+                known: dict[int, int | None] = {}
+                for system, path in _files.parquet_files(f"{repeats}/file_number={number}"):
+                    with system.open_input_file(path) as f:
+                        for part in pq.ParquetFile(f).iter_batches(columns=["seq", "refers_to"]):
+                            known.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+                n = normalise_file(source, f"{name}.warc.gz", f"{name}.idx", known)
+                yield pa.RecordBatch.from_pydict({"archive": [f"{name}.warc.gz"], "index": [f"{name}.idx"], "records": [n]})
 
     return run
 
 
 def normalise(raw: DataFrame, repeats: DataFrame, store: Scratch) -> DataFrame:
     """Normalised archives of all files of ``raw``; returns archive, index, records."""
-    files = raw.select("file").distinct().select("file", F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("long").alias("refers_to"))
-    return store.table("archives", files.unionByName(repeats).groupBy("file").applyInPandas(_normalise(f"{store.path}/archives-normal"), DONE))
+    order = F.row_number().over(Window.orderBy("file")).cast("long")  # one row a file of a gigabyte
+    files = store.table("files", raw.select("file").distinct().select("file", order.alias("file_number")))
+    n = max(1, files.count())
+    repeats = repeats.join(files, "file").select("seq", "refers_to", "file_number")
+    repeats.repartition("file_number").write.mode("overwrite").partitionBy("file_number").parquet(f"{store.path}/repeats")
+    dealt = files.select("file", "file_number").coalesce(1).repartition(n)  # one row to each partition
+    return store.table("archives", dealt.mapInArrow(_normalise(f"{store.path}/archives-normal", f"{store.path}/repeats"), DONE))
 
 
 def _read_back(batches):
@@ -222,7 +234,7 @@ def _read_one(stream, archive: str, entry: dict) -> tuple:
 
 def read_back(archives: DataFrame) -> DataFrame:
     """One row per record of the archives, each read alone by the sidecar index."""
-    return archives.select("archive", "index").repartition(archives.sparkSession.sparkContext.defaultParallelism).mapInArrow(_read_back, BACK)
+    return archives.select("archive", "index").coalesce(1).repartition(max(1, archives.count())).mapInArrow(_read_back, BACK)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,6 +242,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = write_raw(spark.read.parquet(f"{sf_dir}/pages.parquet"), store)
     archives = normalise(raw, revisits(raw, store), store)
     store.drop("archives-raw")
+    store.keep("archives")
     return read_back(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
