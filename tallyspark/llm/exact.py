@@ -7,20 +7,26 @@ digest. A group of copies thus never meets in one task as more rows than there a
 map tasks. Should two different contents share a digest, their rows are grouped by content
 on a path of their own.
 
-Nulls: a null text counts as empty; a null doc_id is larger than any other. Repeated rows:
-one of several identical rows stays. Empty table: empty result.
+The winners go back to the documents by digest; digests with a large share of all rows are broadcast (``_skew``).
+
+Nulls: a null text counts as empty; a null doc_id is larger than any other. Ties of length go to the smaller
+doc_id. Repeated rows: one of several identical rows stays. Very long texts: a text is one value and is
+held whole, as often as a sort buffer holds it; digests, not texts, are joined. Extra columns are ignored by
+``mark`` and kept by ``dedup``, whatever their names. Empty table: empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.llm._skew import join_keys
 from tallyspark.llm._store import Scratch
 
-SALTS = 16
+SALTS = 16  # at least; more with more shuffle partitions
 
 
 def normalised(text: Column) -> Column:
@@ -46,9 +52,10 @@ def _combined(rows: DataFrame, salts: int) -> DataFrame:
     return local.repartition("sha").groupBy("sha", "norm").agg(F.min("best").alias("best"), F.sum("size").alias("size"))
 
 
-def mark(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column] = sha256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mark(docs: DataFrame, salts: int | None = None, digest: Callable[[Column], Column] = sha256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n (code points), keep_id, group_size, kept, text_sha256."""
     store = Scratch(docs.sparkSession, "exact")
+    salts = salts or max(SALTS, isqrt(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(text).cast("long").alias("n"), normalised(F.col(text_col)).alias("norm"))
     rows = rows.withColumn("sha", digest(F.col("norm")))
@@ -56,7 +63,11 @@ def mark(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column]
     ids = rows.withColumn("true_sha", sha256(F.col("norm")) if digest is not sha256 else F.col("sha"))
     clash = winners.filter("contents > 1").select("sha")
     if clash.isEmpty():
-        joined = ids.groupBy("doc_id", "n", "sha", "true_sha").agg(F.count(F.lit(1)).alias("rows")).join(winners, "sha")
+        keys = ["doc_id", "n", "sha"] if digest is sha256 else ["doc_id", "n", "sha", "true_sha"]
+        own = store.table("ids", ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")))
+        own = own.withColumn("true_sha", F.col("sha")) if digest is sha256 else own
+        joined = join_keys(own, winners, ["sha"], "size", winners.agg(F.sum("size")).first()[0] or 0)
+        store.keep("winners", "ids")
     else:
         single = ids.join(clash, "sha", "left_anti").groupBy("doc_id", "n", "sha", "true_sha").agg(F.count(F.lit(1)).alias("rows")).join(winners.drop("contents"), "sha")
         both = ids.join(clash, "sha", "left_semi")
