@@ -6,11 +6,13 @@ the sources sorted by size / weight, found with two windows over the small table
 A document's expected copies are target / source size; prefix sums of them within the source,
 plus one random offset, cross an integer as often as the document is emitted. Documents are
 ranked by size class first, so that the words taken come out near the target as well as the
-number of documents. Ranks come from group counts (source, size class, doc_id mod SALTS) and
-row numbers within such a group: no task sees a whole source.
+number of documents. Ranks come from group counts (source, size class, salt: a hash of doc_id modulo a number
+that grows with the rows) and row numbers within such a group: no task sees a whole source.
 
 Nulls: a null text has size 0, a null source is a source of its own (last), a null doc_id sorts
-last. Repeated rows are ranked one by one. No words at all: every target is 0. Reruns agree,
+last. Repeated rows, and ties of size and doc_id, are ranked one by one, and are alike to the result. Very long
+texts: only their number of words is kept. Extra columns are ignored by ``with_copies`` unless carried, and kept by
+``mix``, whatever their names. Empty table: empty result. No words at all: every target is 0. Reruns agree,
 since the order and the offset are fixed by the data and the seed.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm._store import Scratch
 
-WEIGHTS, LIMIT, SALTS, SEED = (5, 2, 1), 3, 256, 17
+WEIGHTS, LIMIT, SALTS, SALT_ROWS, SEED = (5, 2, 1), 3, 256, 100_000, 17
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,14 +66,18 @@ def with_copies(docs: DataFrame, carried: list[str], weights=WEIGHTS, limit=LIMI
         F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("key"),
         n_words(F.col(text_col)).alias("size"),
     )
-    rows = rows.withColumn("class", F.length(F.bin("size"))).withColumn("salt", F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALTS)), F.lit(SALTS)))
+    rows = rows.withColumn("class", F.length(F.bin("size")))
     if not carried:  # narrow: count words once
         rows = store.table("sizes", rows)
+    salts = max(SALTS, rows.count() // SALT_ROWS)
+    mark = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(mark, F.lit(salts)), F.lit(salts)))
     groups = store.table("groups", rows.groupBy("key", "source", "class", "salt").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")))
     aim = targets(groups.groupBy("key", "source").agg(F.sum("words").alias("source_size")), weights, limit).drop("source")
     before = Window.partitionBy("key").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("key", "class", "salt", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")).join(aim, "key")
     starts = store.table("starts", starts)
+    store.keep("sizes", "starts")
     rank = F.col("start") + F.row_number().over(Window.partitionBy("key", "class", "salt").orderBy("size", F.col("doc_id").asc_nulls_last()))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     out = rows.join(starts, ["key", "class", "salt"]).withColumn("rank", rank).withColumn("each", each)
@@ -101,11 +107,12 @@ v AS (SELECT *, CAST((SELECT sum(source_size) FROM z) - {LIMIT} * coalesce(sum(s
       FROM x WINDOW w AS (ORDER BY ratio, weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 u AS (SELECT *, {LIMIT} * source_size * rest_weight <= rest * weight AS full_ FROM v),
 l AS (SELECT rest, rest_weight FROM u WHERE NOT full_ ORDER BY ratio, weight, key LIMIT 1),
+n AS (SELECT greatest({SALTS}, count(*) // {SALT_ROWS}) AS salts FROM d),
 t AS (SELECT key, source_size, CASE WHEN full_ THEN CAST({LIMIT} * source_size AS DOUBLE)
              ELSE CAST((SELECT rest FROM l) AS DOUBLE) * weight / (SELECT rest_weight FROM l) END AS target FROM u),
 r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS each,
-             row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)), coalesce(((doc_id % {SALTS}) + {SALTS}) % {SALTS}, {SALTS}), size, doc_id NULLS LAST) AS rank
-      FROM d JOIN t ON coalesce('=' || d.source, '') = t.key)
+             row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)), coalesce(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % n.salts, n.salts), size, doc_id NULLS LAST) AS rank
+      FROM d CROSS JOIN n JOIN t ON coalesce('=' || d.source, '') = t.key)
 SELECT doc_id, size, source_size, target,
        CAST(size * (floor({offset()} + rank * each) - floor({offset()} + (rank - 1) * each)) AS BIGINT) AS taken FROM r
 """
