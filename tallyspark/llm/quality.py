@@ -1,8 +1,11 @@
 """Quality classifier: subword-bag embeddings with a softmax (see ``subword``), case kept.
 
+Features are words, word pairs and triples, and character n-grams; scores are calibrated on a fifth of
+the sample that training does not see.
 Nulls: a null text scores like an empty one (the learnt prior). Unlabelled, null-labelled or
-held-out rows are not learnt from; with no labels at all every score is the prior alone.
-Repeated rows score alike; an empty table gives an empty result.
+held-out rows are not learnt from (of several labels of one doc_id the larger counts); with no labels at all every score
+is the prior alone. Repeated rows, and ties, score alike; very long texts are scored whole, in blocks; extra columns
+are kept as they are, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import subword
 
-SHAPE = subword.Shape(repeats=4, shift=1.5)
+SHAPE = subword.Shape(bits=18, words=3, calibrated=True)
 THRESHOLD, PARTS, PART = 0.7, 4, 2
 
 

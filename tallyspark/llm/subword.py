@@ -8,7 +8,9 @@ a text of any length means averaging numbers looked up in an array of ``2**bits`
 is all that is sent to the tasks.
 
 Training reads a bounded sample of labelled rows (``SAMPLE`` a class, the smallest by hash of
-doc_id, texts of at most ``MOST_CHARS``); scoring reads all rows and whole texts.
+doc_id, texts of at most ``MOST_CHARS``, ``SAMPLE_CHARS`` a class together, which bounds what comes to the
+driver); scoring reads all rows and whole texts, in blocks, some megabytes of a batch at a time.
+Loss weights per class, and a calibration on rows kept out of training, are options of the ``Shape``.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import _text
 
-SAMPLE, MOST_CHARS = 2500, 20_000
+SAMPLE, MOST_CHARS, SAMPLE_CHARS = 2500, 20_000, 12_000_000
 _BASE = np.uint32(0x01000193)
 
 
@@ -31,7 +33,7 @@ class Shape:
     bits: int = 16
     grams: tuple[int, ...] = (3, 4, 5)
     lower: bool = False
-    repeats: int = 0  # weight of the word bigram "the same word again", hashed as one feature whatever the word
+    words: int = 1  # word n-grams up to so many words
     dim: int = 8
     gain: float = 40.0
     epochs: int = 4
@@ -39,7 +41,8 @@ class Shape:
     smooth: float = 30.0  # features of no meaning added to each text, so that a few odd ones don't decide
     rate: float = 0.15
     seed: int = 5
-    shift: float = 0.0  # added to the log odds: how sure to be
+    balance: float = 0.5  # 1: both classes weigh the same in the loss, 0: each row does
+    calibrated: bool = False  # whether every fifth row is kept out of training to fit scale and offset of the log odds
 
 
 def _code() -> np.ndarray:
@@ -67,9 +70,10 @@ def _block_features(block: bytes, shape: Shape) -> np.ndarray:
     code, space = _CODE[raw], _text._SPACE[raw]
     words = _text._block_words(block, shape.lower)
     out = [_slots(words.astype(np.uint32) ^ (words >> np.uint64(32)).astype(np.uint32), 1, shape.bits)]
-    if shape.repeats:
-        again = np.count_nonzero(words[1:] == words[:-1])
-        out.append(np.full(again * shape.repeats, _slots(np.zeros(1, np.uint32), 2, shape.bits)[0]))
+    gram = words
+    for n in range(2, shape.words + 1):
+        gram = gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1 :]
+        out.append(_slots(gram.astype(np.uint32) ^ (gram >> np.uint64(32)).astype(np.uint32), 64 + n, shape.bits))
     up_to = np.concatenate([[0], np.cumsum(space)])
     power, total, n = np.uint32(1), np.zeros(len(raw), np.uint32), 0
     for want in sorted(shape.grams):
@@ -96,8 +100,36 @@ def histogram(data: bytes, shape: Shape) -> np.ndarray:
     return out
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], shape: Shape) -> tuple[np.ndarray, float]:
-    """(log odds a feature, log odds of no features) from (feature numbers, counts) of each text."""
+def calibrate(z: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Scale and offset of log odds by weighted logistic regression, with a weak pull to (1, 0)."""
+    a, b = 1.0, 0.0
+    x = np.stack([z, np.ones(len(z))], 1)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
+        slope = x.T @ (weights * (p - labels)) + np.array([a - 1, 0.1 * b])
+        curve = (x * (weights * p * (1 - p))[:, None]).T @ x + np.diag([1.0, 0.1])
+        step = np.linalg.solve(curve, slope)
+        a, b = max(0.05, a - float(np.clip(step[0], -2, 2))), b - float(np.clip(step[1], -2, 2))
+    return a, b
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], shape: Shape, totals: dict[int, int] | None = None) -> tuple[np.ndarray, float]:
+    """(log odds a feature, log odds of no features) from (feature numbers, counts) of each text; ``totals``: labelled
+    rows of each class, of which the bags are a sample (for the calibration)."""
+    if shape.calibrated and len(bags) >= 50:
+        aside = np.arange(len(bags)) % 5 == 4
+        odds, bias = _train([b for b, x in zip(bags, aside, strict=True) if not x], [y for y, x in zip(labels, aside, strict=True) if not x], shape)
+        kept = [(b, y) for b, y, x in zip(bags, labels, aside, strict=True) if x]
+        z = np.array([bias + float(odds[at] @ counts) / (shape.smooth + float(counts.sum(dtype=np.int64))) for (at, counts), _ in kept])
+        y = np.array([y for _, y in kept], np.float64)
+        share = [(totals or {}).get(c, 1) / max(1, labels.count(c)) if totals else 1.0 for c in (0, 1)]
+        weights = np.where(y > 0, share[1], share[0])
+        a, b = calibrate(z, y, weights / weights.mean())
+        return a * odds, a * bias + b
+    return _train(bags, labels, shape)
+
+
+def _train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], shape: Shape) -> tuple[np.ndarray, float]:
     rng = np.random.default_rng(shape.seed)
     table = rng.normal(0, 1e-3, (1 << shape.bits, shape.dim)).astype(np.float32)
     soft = rng.normal(0, 0.5, (2, shape.dim)).astype(np.float32)
@@ -115,7 +147,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], shape: S
             p = np.exp(z - z.max())
             p /= p.sum()
             p[labels[i]] -= 1
-            p *= np.float32(0.5 / max(share[labels[i]], 1e-3)) ** 0.5
+            p *= np.float32(0.5 / max(share[labels[i]], 1e-3)) ** shape.balance
             pull = shape.gain * (p @ soft)
             size = weight * np.float32(np.sqrt((pull**2).mean()))
             seen[at] += size**2
@@ -125,7 +157,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], shape: S
             soft -= 0.1 * rate * g / np.sqrt(soft_seen)
             bias_seen += p**2
             bias -= rate * p / np.sqrt(bias_seen)
-    return shape.gain * (table @ (soft[1] - soft[0])).astype(np.float64), float(bias[1] - bias[0]) + shape.shift
+    return shape.gain * (table @ (soft[1] - soft[0])).astype(np.float64), float(bias[1] - bias[0])
 
 
 def score(data: bytes, odds: np.ndarray, bias: float, shape: Shape) -> float:
@@ -159,13 +191,19 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, shape
     """Model from the labelled rows for which ``learn`` (a condition on doc_id) holds."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).filter(learn).groupBy("doc_id").agg(F.max("label").alias("label"))
+    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()} if shape.calibrated else None
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.filter("label = 0").orderBy(*order).limit(sample).unionByName(known.filter("label = 1").orderBy(*order).limit(sample))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.char_length("text") <= MOST_CHARS)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_bags(shape), "label int, at binary, counts binary").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.char_length("text").cast("long").alias("chars")).filter(F.col("chars") <= MOST_CHARS)
+    texts = texts.join(F.broadcast(chosen), "doc_id")
+    by = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "chars", F.xxhash64("text"))
+    sizes = texts.select("doc_id", "label", "chars", F.xxhash64("text").alias("mark"), F.row_number().over(by).alias("nth"), F.sum("chars").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
+    sizes = sizes.filter((F.col("nth") <= sample) & (F.col("sum") <= SAMPLE_CHARS)).select("doc_id", "mark").distinct()
+    texts = texts.withColumn("mark", F.xxhash64("text")).join(F.broadcast(sizes), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    rows = texts.select("label", "text").mapInArrow(_bags(shape), "label int, at binary, counts binary").collect()
     rows.sort(key=lambda r: (r.label, bytes(r.at)[:64], bytes(r.counts)[:64]))  # the same order whatever the partitions
     bags = [(np.frombuffer(r.at, "<u4"), np.frombuffer(r.counts, "<u2")) for r in rows]
-    return train(bags, [r.label for r in rows], shape)
+    return train(bags, [r.label for r in rows], shape, totals)
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], shape: Shape) -> DataFrame:
@@ -176,10 +214,10 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], shape: Shape) -> Da
 
     def run(batches):
         odds, bias = sent.value
-        for batch in batches:
-            texts = batch.column(n).to_pylist()
-            scores = pa.array([score((t or "").encode(), odds, bias, shape) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], scores], schema=pa.schema([*[batch.schema.field(i) for i in range(n)], pa.field(names[-1], pa.float64())]))
+        for whole in batches:
+            for batch in _text.slices(whole, n):
+                scores = pa.array([score((t or "").encode(), odds, bias, shape) for t in batch.column(n).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], scores], schema=pa.schema([*[batch.schema.field(i) for i in range(n)], pa.field(names[-1], pa.float64())]))
 
     names = [f"__{i}" for i in range(n)] + ["__score"]
     rows = docs.select(*[F.col(f"`{c}`").alias(names[i]) for i, c in enumerate(docs.columns)], F.col("text").alias("__text"))

@@ -1,7 +1,8 @@
 """Toxicity: subword-bag embeddings with a softmax (see ``subword``), A-Z in lower case.
 
-Misspelt or inflected words share character n-grams with those seen in training. Nulls, missing
-labels, repeated rows and empty tables as in ``quality``.
+Misspelt or inflected words share character n-grams with those seen in training. Both classes weigh the
+same in the loss, as toxic rows are few. Nulls, missing labels, repeated rows, ties, very long texts, extra columns and
+empty tables as in ``quality``.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import subword
 
-SHAPE = subword.Shape(lower=True, smooth=200.0)
+SHAPE = subword.Shape(lower=True, smooth=200.0, balance=1.0)
 THRESHOLD, PARTS, PART = 0.5, 5, 0
 
 
