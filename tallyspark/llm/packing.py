@@ -237,6 +237,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, i
     counts = store.table("counts", rows.groupBy("bucket", "rest").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("chunks")))
     histogram = {r.rest: r.n for r in counts.filter("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}
     slots, sequences = _slots(patterns(histogram, length))
+    store.keep("tokens", "counts")
     form = T.StructType([T.StructField("rest", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("ranks", "sequences", "offsets")]])
     before = lambda *keys: Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("bucket", "rest", F.coalesce(F.sum("n").over(before("rest")), F.lit(0)).alias("rank0"))

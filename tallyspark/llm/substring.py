@@ -217,6 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     some = _only(rows, store.table("cut-ids", cut.select("id", "row")), ["id", "row"]).dropDuplicates(["id", "row"])
     parsed = some.join(cut, ["id", "row"]).select("id", "row", "text", "spans").mapInArrow(_parse(window), _PARSED).withColumnRenamed("sha", "cut_sha")
     parsed = store.table("parsed", parsed if kept_text else parsed.select("id", "row", "n_removed", "cut_sha"))
+    store.keep("runs", "parsed")
     out = scan.filter("anchor IS NULL").select("id", "row", "n_words", "sha").join(parsed, ["id", "row"], "left")
     return out.select(
         F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"), *(["kept_text", "phrases"] if kept_text else [])

@@ -222,6 +222,7 @@ def test_jaccard_pairs_grow_with_the_group(spark, changes):
 def test_jaccard_indexes_combinations_of_frequent_tokens(spark):
     rows = near_copies(30, 1, 60) + [(100 + i, f"{i} other words of a document that nobody else has {i}") for i in range(10)]
     join = jaccard.Join(frame(spark, rows).select("doc_id", "text"), least=5, counters=1 << 16)
+    join.keep_tables = True
     join.classes()
     index = spark.read.parquet(f"{join.store.path}/entries")
     assert index.filter("key IS NOT NULL AND combined").count() > index.filter("key IS NOT NULL AND NOT combined").count()

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("tallyspark.llm")
-from tallyspark.llm import _files, mixing, packing, quality, subword, toxicity, urlfilter, warc  # noqa: E402
+from tallyspark.llm import _files, _text, exact, mixing, packing, quality, subword, toxicity, urlfilter, warc  # noqa: E402
 from tallyspark.llm._store import Scratch  # noqa: E402
 
 PAGES = [
@@ -96,16 +96,31 @@ def test_url_filters(spark):
 
 
 def test_cascade_is_exact(spark):
-    keys = [f"key{i}" for i in range(3000)]
-    listed = keys[::37]
-    universe = spark.createDataFrame([(k,) for k in keys], "key string")
-    cascade = urlfilter.Cascade(spark, listed, universe)
+    universe = spark.range(3000).selectExpr("concat('key', id) AS key")
+    listed = universe.filter("int(substring(key, 4)) % 37 = 0")
+    cascade = urlfilter.Cascade(listed, universe)
     assert len(cascade.levels) >= 1
-    assert sorted(r.key for r in universe.filter(cascade.has(universe.key)).collect()) == sorted(listed)
-    none = urlfilter.Cascade(spark, [], universe)
+    assert universe.filter(cascade.has(universe.key)).collect() == listed.collect()
+    none = urlfilter.Cascade(listed.limit(0), universe)
     assert universe.filter(none.has(universe.key)).count() == 0
 
 
+def test_url_rules_from_a_table(spark):
+    rules = spark.range(2000).selectExpr("if(id % 3 = 0, 'allow', 'block') AS verdict", "concat('h', id, '.example') AS host", "'/' AS path", "1 AS extra")
+    rules = rules.unionByName(spark.createDataFrame([("allow", "twice.example", "/", 1), ("block", "twice.example", "/", 1), (None, "h5.example", "/", 2)], "verdict string, host string, path string, extra int"))
+    rows = [(i, f"http://a.h{i}.example/x", "") for i in range(2500)] + [(9000, "http://twice.example/", ""), (9001, "http://" + "." * 200_000 + "h1.example/", ""), (9002, "http://h1.example" + "/y" * 100_000, "")]
+    found = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(pages(spark, rows), rules).collect()}
+    assert len(found) == len(rows)
+    for i in range(2500):
+        assert found[i] == ((f"h{i}.example/", "allow" if i % 3 == 0 else "block") if i < 2000 else (None, "allow"))
+    assert found[9000] == ("twice.example/", "block") and found[9001] == found[9002] == ("h1.example/", "block")
+
+
+def test_url_filters_empty_and_no_rules(spark):
+    assert urlfilter.judge(pages(spark, [])).count() == 0
+    assert [r.verdict for r in urlfilter.judge(pages(spark, [(1, "http://x.net/", "")]), ()).collect()] == ["allow"]
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, s, 1, 2) for i, t, s in rows], "doc_id long, text string, source string, rank int, copies int")
 
@@ -230,21 +245,136 @@ def test_no_labels_and_empty(spark):
     assert quality.keep_good(frame, marks.limit(0)).columns == frame.columns
 
 
+def test_classifiers_without_labels_or_rows(spark):
+    frame, marks = labelled(spark, 8)
+    for module in (quality, toxicity):
+        assert module.score(frame.limit(0), marks).count() == 0
+        assert len({r.score for r in module.score(frame, marks.limit(0)).collect()}) >= 1
+        assert module.score(frame.limit(0), marks.limit(0)).count() == 0
+
+
+def brute_features(text, shape):
+    """Feature numbers by loops over words and characters."""
+    codes, m = subword._CODE.tolist(), (1 << 32) - 1
+    raw = text.encode().lower() if shape.lower else text.encode()
+    out = []
+
+    def slot(x, salt):
+        return int(subword._slots(np.array([x], np.uint32), salt, shape.bits)[0])
+
+    hashes = [int(_text.word_hashes(w)[0]) for w in raw.split()]
+    out += [slot((h ^ h >> 32) & m, 1) for h in hashes]
+    for n in range(2, shape.words + 1):
+        for i in range(len(hashes) - n + 1):
+            h = hashes[i]
+            for x in hashes[i + 1 : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + x) % (1 << 64)
+            out.append(slot((h ^ h >> 32) & m, 64 + n))
+    padded, spaces = b" " + raw + b" ", set(_text.SPACES)
+    for n in shape.grams:
+        for i in range(len(padded) - n + 1):
+            gram = padded[i : i + n]
+            if not any(c in spaces for c in gram[1:-1]):
+                out.append(slot(sum(codes[c] * pow(int(subword._BASE), k, 1 << 32) for k, c in enumerate(gram)) & m, n))
+    return out
+
+
+@pytest.mark.parametrize("shape", [quality.SHAPE, toxicity.SHAPE])
+def test_scores_are_means_of_the_learnt_features(shape):
+    odds = np.random.default_rng(3).normal(0, 5, 1 << shape.bits).astype(np.float32)
+    for text in ("", "a", "Some words, Éa  and\tmore words\n\n ", "x" * 40, "the the the end"):
+        mine = brute_features(text, shape)
+        assert sorted(np.concatenate([*subword.features(text.encode(), shape), np.empty(0, np.uint32)]).tolist()) == sorted(mine)
+        z = 0.25 + float(odds[np.array(mine, np.int64)].sum(dtype=np.float64)) / (shape.smooth + len(mine))
+        assert abs(subword.score(text.encode(), odds, 0.25, shape) - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_calibration_finds_scale_and_offset():
+    rng = np.random.default_rng(2)
+    z = rng.normal(0, 2, 20_000)
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(0.5 * z + 1)))).astype(float)
+    a, b = subword.calibrate(z, y, np.ones(len(y)))
+    assert abs(a - 0.5) < 0.05 and abs(b - 1) < 0.08
+
+
+def test_very_long_texts(spark):
+    """Texts beyond a MiB, and thousands of rows in one batch, through every operator on rows."""
+    long = "".join(f"w{i % 977} {'x' * (i % 9)}\n" for i in range(180_000))
+    assert len(long) > 1 << 20
+    rows = [(1, long, "a"), (2, long.replace("\n", " "), "a"), (3, "short text", "b"), (4, "x" * (1 << 21), "b")] + [(10 + i, f"row {i} " * 150, "c") for i in range(3000)]
+    frame = docs(spark, rows)
+    out = packing.pack(frame).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    model = packing.tokenizer(None).model
+    want = {i: 1 + len(model.encode(t, add_special_tokens=False).ids) for i, t, _ in rows[:4]}
+    assert len(out) == len(rows) and all(r["sum(length)"] == r["max(doc_tokens)"] for r in out)
+    assert {r.doc_id: r["max(doc_tokens)"] for r in out if r.doc_id < 10} == want
+    marked = {r.doc_id: r for r in exact.mark(frame).filter("doc_id < 10").collect()}
+    assert marked[2].keep_id == 1 == marked[1].keep_id and marked[1].group_size == 2
+    sizes = {r.doc_id: r["size"] for r in mixing.with_copies(frame, []).collect()}
+    assert sizes[1] == len(long.split()) and sizes[4] == 1
+    marks = spark.createDataFrame([(3, 1, 0), (10, 0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.score(frame.filter("doc_id < 10"), marks).count() == 4
+    back = warc.read_back(archived(spark, [(1, "u", long), (2, "u", long), (3, "u", "x" * (1 << 21))])).collect()
+    assert Counter(r.record_type for r in back) == {"response": 2, "revisit": 1}
+
+
+@pytest.mark.parametrize("units, chars, portion", [(3, 1 << 20, 7), (1000, 30, 40), (50, 200, 1)])
+def test_encoder_forgets_and_segments(units, chars, portion):
+    model = packing.tokenizer(None).model
+    encoder = packing.Encoder(model, units=units, unit_chars=chars, portion=portion)
+    rng = np.random.default_rng(5)
+    vocabulary = ["the", "of", "house's", "Été", "x,y", "12", "don't", "<|endoftext|>", "a\n\nb", "z\t"]
+    texts = [" ".join(rng.choice(vocabulary, 60)) + "\nnext line " * 3 for _ in range(20)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == model.encode(text, add_special_tokens=False).ids
+    assert len(encoder.sizes) <= units + 70
+
+
 def test_pipeline(spark, tmp_path):
+    """Each stage against brute force on what the stage before kept."""
     import corpus_pipeline
+    from test_pairs import brute_exact, brute_links
 
     frame, marks = labelled(spark, 120)
+    words = [f"v{i}" for i in range(90)]
+    more = [(1000 + i, " ".join(words if i < 3 else words[: 60 + i]), "s1" if i % 2 else None) for i in range(12)] + [(None, "no id at all here", "s1"), (7, "repeated row of words", "s2"), (7, "repeated row of words", "s2"), (1100, None, "s0"), (1101, " \n", "s0")]
+    frame = frame.unionByName(docs(spark, more))
     frame.withColumnRenamed("rank", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     marks.write.parquet(str(tmp_path / "labels.parquet"))
     current = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    columns = current.columns
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before, current = current.count(), stage(spark, current, str(tmp_path))
-        if k < len(corpus_pipeline.STAGES) - 1:
+    columns, before, kept = current.columns, None, {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [(r.doc_id, r.text) for r in current.collect()]
+        sources = {(r.doc_id, r.text): r.source for r in current.collect()}
+        if k == 0:
+            scores = quality.score(current.select("doc_id", "text"), marks).collect()
+            want = Counter((r.doc_id, r.text) for r in scores if r.score >= quality.THRESHOLD)
+        elif k == 1:
+            want = Counter(keep for _, keep, _, _ in {(x[3], (x[1]), 0, 0) for x in brute_exact(before)})
+        elif k == 2:
+            links = brute_links(before)
+            want = {c for _, n, c in links if n} | {i for i, n, _ in links if not n}
+        current = stage(spark, current, str(tmp_path))
+        found = current.collect()
+        kept[name] = found
+        if k < 4:
             assert current.columns == columns
-        if k < 3:
-            assert current.count() <= before
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+        if k == 0:
+            assert Counter((r.doc_id, r.text) for r in found) == want and found
+        elif k == 1:
+            assert Counter(r.doc_id for r in found) == want
+        elif k == 2:
+            assert {r.doc_id for r in found} == want and len(found) == len(want)
+        elif k == 3:
+            copies = Counter((r.doc_id, r.text) for r in found)
+            assert set(copies) <= set(before) and max(copies.values()) <= 3
+            total = sum(len((t or "").split()) for _, t in before)
+            assert abs(sum(len((r.text or "").split()) for r in found) - total) <= 3 * max(len((t or "").split()) for _, t in before) * len(set(sources.values()))
+        else:
+            model = packing.tokenizer(None).model
+            want = Counter((i, 1 + len(model.encode(t or "", add_special_tokens=False).ids)) for i, t in before)
+            assert Counter((r.doc_id, r.doc_tokens) for r in found if r.start == 0) == want
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(found)
 
 
 def test_queries_are_registered():
