@@ -12,23 +12,24 @@ so that no task sees all documents of one length.
 A sequence still open at 256 or 512 tokens would cost no padding; the patterns do not use this, as
 they leave some thousandths of padding anyway.
 
-Tokenizing works on units between single spaces or newlines, which are always boundaries of the
-byte-level splitter; the ids of units seen before are looked up, as most are. The memory for units
-is bounded in units and in characters; when it is full, the units met most often stay.
+Ids are those of the ``tokenizers`` library. A byte-level vocabulary of the usual form is encoded by
+``tiktoken`` with the merges and the splitting of the same vocabulary file, which gives the same ids several times
+faster and needs no memory beyond the text and its ids; other vocabularies, and texts with words or white space of
+extreme length, go through ``tokenizers`` itself.
 Nulls: a null text is empty (id 0 alone); a null doc_id is an ordinary one. Repeated rows are packed
-one by one; ties of length go by doc_id. Very long texts: tokenized in segments of ``PORTION``
-characters, batches are read some megabytes at a time; what is held of one document is its text
-and its ids. Empty table: empty result. Extra columns are ignored, whatever their names.
+one by one; ties of length go by doc_id. Very long texts: batches are read some megabytes at a time; what is
+held of one document is its text and its ids. Empty table: empty result. Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections import defaultdict
 from functools import cache
-from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,140 +41,63 @@ from tallyspark.llm import _text
 from tallyspark.llm._store import Scratch
 
 LENGTH, END = 1024, 0
-BUCKET_ROWS, LEAST_BUCKETS, JOINED = 100_000, 64, 20_000
-UNITS, UNIT_CHARS, PORTION, BATCH_BYTES = 300_000, 1 << 23, 1 << 19, 1 << 22
-_CUT = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n\S))")
+BUCKET_ROWS, LEAST_BUCKETS, BATCH_BYTES = 100_000, 64, 1 << 22
+LONG_WORD, _LONG_SPACE = 1 << 16, re.compile(r"\s{1000}")
+# Fixed by the byte-level form of vocabularies: how it splits texts, and which bytes stand for themselves in its alphabet.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PRINTED = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
 
 
 @cache
 def tokenizer(vocabulary: str | None):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
-    from tokenizers import Tokenizer
-
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return Encoder(Tokenizer.from_file(vocabulary))
+    return Encoder(vocabulary)
+
+
+def _alphabet() -> dict[str, int]:
+    printed = [b for r in _PRINTED for b in r]
+    others = [b for b in range(256) if b not in printed]
+    return {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _fast(vocabulary: str):
+    """A ``tiktoken`` encoding with the merges of a byte-level vocabulary file; None if the file has any other form."""
+    with open(vocabulary, encoding="utf-8") as f:
+        told = json.load(f)
+    model, splitter = told["model"], told.get("pre_tokenizer") or {}
+    plain = all(not model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    usual = splitter.get("type") == "ByteLevel" and not splitter.get("add_prefix_space") and splitter.get("use_regex", True)
+    added = told.get("added_tokens") or []
+    if model.get("type") != "BPE" or not plain or not usual or told.get("normalizer") or told.get("post_processor"):
+        return None
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        return None
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(x >= y for x, y in zip(merged, merged[1:], strict=False)):
+        return None  # the order of the merges must be the order of ids
+    import tiktoken
+
+    byte, special = _alphabet(), {t["content"]: t["id"] for t in added}
+    ranks = {bytes(byte[c] for c in token): number for token, number in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding(name=vocabulary, pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
 
 class Encoder:
-    """Same ids as ``Tokenizer.encode(text, add_special_tokens=False)``, with a memory for units.
-
-    A unit's key tells how it stands in its text: ``" x"`` at the start, ``"\\nx"`` after a newline,
-    ``"x"`` after a space.
-    """
-
-    def __init__(self, model, units: int = UNITS, unit_chars: int = UNIT_CHARS, portion: int = PORTION):
-        self.model, self.most, self.most_chars, self.portion = model, units, unit_chars, portion
-        added = [t.content for t in model.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        vocabulary = model.get_vocab(with_added_tokens=False)
-        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, number in vocabulary.items():  # in the byte-level alphabet a character stands for a byte
-            self.n_bytes[number] = len(token)
-        self._keep([], np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
-
-    def _keep(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray, met: np.ndarray) -> None:
-        self.index: dict[str, int] = defaultdict(count(len(keys)).__next__)  # a new key gets the next number
-        self.index.update(zip(keys, range(len(keys)), strict=True))
-        self.ids, self.sizes, self.met = ids, sizes, met
-        self.start = np.cumsum(sizes) - sizes
-        self.chars = sum(map(len, keys))
-
-    def _shrink(self) -> None:
-        """Keeps the units met most often, half as many as fit; all counts are halved."""
-        long = np.fromiter(map(len, self.index), np.int64, len(self.index))
-        best = np.argsort(-self.met, kind="stable")
-        best = best[np.cumsum(long[best]) <= self.most_chars // 2][: self.most // 2]
-        best = np.sort(best[self.met[best] > 1])
-        keys = list(self.index)
-        self._keep([keys[i] for i in best.tolist()], self._gather(best), self.sizes[best], self.met[best] // 2)
-
-    def _gather(self, at: np.ndarray) -> np.ndarray:
-        size = self.sizes[at]
-        return self.ids[np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-
-    def _learn(self, keys: list[str]) -> None:
-        alone = np.array([k[0] == " " or k[-1].isspace() for k in keys], bool)
-        texts = [k[1:] if k[0] == " " else k if k[0] == "\n" else " " + k for k in keys]
-        sizes, start, got, n = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64), [self.ids], len(self.ids)
-        single, others = np.flatnonzero(alone), np.flatnonzero(~alone)
-        for i, found in zip(single.tolist(), self.model.encode_batch_fast([texts[i] for i in single.tolist()], add_special_tokens=False), strict=True):
-            got.append(np.array(found.ids, np.uint32))
-            sizes[i], start[i] = len(got[-1]), n
-            n += len(got[-1])
-        for j in range(0, len(others), JOINED):  # set one after another, such units keep their bounds: one call for many
-            some = others[j : j + JOINED]
-            parts = [texts[i] for i in some.tolist()]
-            joined = "".join(parts)
-            ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            first_bytes = np.append(np.flatnonzero((np.frombuffer(data := joined.encode(), np.uint8) & 0xC0) != 0x80), len(data))
-            ends = first_bytes[np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]
-            to = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            sizes[some] = np.diff(to, prepend=0)
-            start[some] = n + to - sizes[some]
-            got.append(ids)
-            n += len(ids)
-        self.ids, self.start, self.sizes = np.concatenate(got), np.concatenate([self.start, start]), np.concatenate([self.sizes, sizes])
-        self.met = np.concatenate([self.met, np.zeros(len(keys), np.int64)])
-        self.chars += sum(map(len, keys))
-
-    @staticmethod
-    def _keys(text: str, first: bool) -> list[str]:
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1:  # single spaces and newlines between words only
-            parts = text.replace("\n", " \n").split(" ")
-        else:
-            parts = _CUT.split(text)
-        if first:
-            parts[0] = " " + parts[0]
-        return parts
-
-    def _segments(self, text: str):
-        at, first = 0, True
-        while len(text) - at > self.portion and (cut := _CUT.search(text, at + self.portion)):
-            yield self._keys(text[at : cut.start()], first)
-            at, first = cut.end(), False
-        yield self._keys(text[at:], first)
-
-    def _known(self, keys: list[str]) -> np.ndarray:
-        """Ids and their number for each of the keys."""
-        if len(self.sizes) > self.most or self.chars > self.most_chars:
-            self._shrink()
-        known = len(self.sizes)
-        at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
-        if new := len(self.index) - known:
-            self._learn(list(islice(reversed(self.index), new))[::-1])
-        self.met += np.bincount(at, minlength=len(self.met))
-        return at
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[list[np.ndarray]] = [[] for _ in texts]
-        keys, owner, ends, n = [], [], [], 0
-
-        def flush():
-            nonlocal keys, owner, ends, n
-            if keys:
-                at = self._known(keys)
-                bounds = np.cumsum(self.sizes[at])[np.array(ends) - 1]
-                for i, ids in zip(owner, np.split(self._gather(at), bounds[:-1]), strict=True):
-                    out[i].append(ids)
-            keys, owner, ends, n = [], [], [], 0
-
-        for i, text in enumerate(texts):
-            if self.special and self.special.search(text):
-                flush()
-                out[i].append(np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32))
-            elif text:
-                for part in self._segments(text):
-                    keys += part
-                    owner.append(i)
-                    ends.append(len(keys))
-                    n += sum(map(len, part)) if len(part) < 64 else len(part) * 8
-                    if n >= self.portion:
-                        flush()
-        flush()
-        return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.empty(0, np.uint32) for x in out]
+    """Same ids as ``Tokenizer.encode(text, add_special_tokens=False)``."""
+
+    def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.model, self.fast = Tokenizer.from_file(vocabulary), _fast(vocabulary)
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.fast and max(map(len, text.split()), default=0) < LONG_WORD and not _LONG_SPACE.search(text):
+            return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def _tokens(vocabulary: str | None, length: int):
@@ -182,8 +106,8 @@ def _tokens(vocabulary: str | None, length: int):
         for batch in batches:
             for part in _text.slices(batch, 1, BATCH_BYTES):
                 tokens, crcs = [], []
-                for ids in encoder.encode([t or "" for t in part.column(1).to_pylist()]):
-                    ids = np.append(ids, np.uint32(END)).astype("<u4", copy=False)
+                for text in part.column(1).to_pylist():
+                    ids = np.append(encoder.ids(text or ""), np.uint32(END)).astype("<u4", copy=False)
                     tokens.append(len(ids))
                     crcs.append([zlib.crc32(ids[k : k + length]) for k in range(0, len(ids), length)])
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crcs"])

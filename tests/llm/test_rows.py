@@ -166,7 +166,7 @@ def test_patterns_place_every_length_once():
 @pytest.mark.parametrize("text", ["", " ", "  ", "a  b", " a b ", "a\n b", "don't  we'll  <|endoftext|> x", "x  y z", "tab\t x\t\ty", "\U0001f600 \U0001f600", "é" * 50])
 def test_encoder_agrees_with_the_tokenizer(text):
     encoder = packing.tokenizer(None)
-    assert encoder.encode([text])[0].tolist() == encoder.model.encode(text, add_special_tokens=False).ids
+    assert encoder.ids(text).tolist() == encoder.model.encode(text, add_special_tokens=False).ids
 
 
 def test_mixing(spark):
@@ -318,16 +318,28 @@ def test_very_long_texts(spark):
     assert Counter(r.record_type for r in back) == {"response": 2, "revisit": 1}
 
 
-@pytest.mark.parametrize("units, chars, portion", [(3, 1 << 20, 7), (1000, 30, 40), (50, 200, 1)])
-def test_encoder_forgets_and_segments(units, chars, portion):
-    model = packing.tokenizer(None).model
-    encoder = packing.Encoder(model, units=units, unit_chars=chars, portion=portion)
-    rng = np.random.default_rng(5)
-    vocabulary = ["the", "of", "house's", "Été", "x,y", "12", "don't", "<|endoftext|>", "a\n\nb", "z\t"]
-    texts = [" ".join(rng.choice(vocabulary, 60)) + "\nnext line " * 3 for _ in range(20)]
-    for text, ids in zip(texts, encoder.encode(texts), strict=True):
-        assert ids.tolist() == model.encode(text, add_special_tokens=False).ids
-    assert len(encoder.sizes) <= units + 70
+def test_encoder_agrees_on_all_sorts_of_characters():
+    encoder = packing.tokenizer(None)
+    assert encoder.fast is not None
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000][::7]
+    for i in range(0, len(points), 256):
+        text = "".join(f"a{chr(c)}b 1{chr(c)}2 .{chr(c)}, {chr(c)}{chr(c)}x  {chr(c)} " for c in points[i : i + 256])
+        assert encoder.ids(text).tolist() == encoder.model.encode(text, add_special_tokens=False).ids
+    for text in ("x" * 3000, "ab" * 50_000, " " * 5000 + "a", "\n \t" * 900 + "b", "é" * 30_000, "<|endoftext|><|endoftext|>a <|endoftext|>  b", "we'll've 'S it's"):
+        assert encoder.ids(text).tolist() == encoder.model.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_go_the_slow_way(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        told = json.load(f)
+    told["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(told))
+    other = packing.Encoder(str(tmp_path / "other.json"))
+    assert other.fast is None and other.ids("A B").tolist() == packing.tokenizer(None).ids("a b").tolist()
 
 
 def test_pipeline(spark, tmp_path):
