@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.llm import _text
+from tallyspark.llm._memory import trimmed
 from tallyspark.llm._store import Scratch
 
 LENGTH, END = 1024, 0
@@ -155,7 +156,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, i
     spark = docs.sparkSession
     store = Scratch(spark, "packing")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = store.table("tokens", rows.mapInArrow(_tokens(vocabulary, length), "doc_id long, doc_tokens long, crcs array<long>"))
+    rows = store.table("tokens", rows.mapInArrow(trimmed(_tokens(vocabulary, length)), "doc_id long, doc_tokens long, crcs array<long>"))
     n = max(LEAST_BUCKETS, rows.count() // BUCKET_ROWS)
     rows = rows.withColumn("rest", F.col("doc_tokens") % length).withColumn("full", F.floor(F.col("doc_tokens") / length)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.element_at("crcs", 1)), F.lit(n)))
     counts = store.table("counts", rows.groupBy("bucket", "rest").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("chunks")))

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import _text
+from tallyspark.llm._memory import trimmed
 from tallyspark.llm._skew import join_keys
 from tallyspark.llm._store import Scratch
 
@@ -193,7 +194,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """Per document: doc_id, n_words, n_removed, kept_sha256; with kept_text also kept_text and phrases, the parse (null where nothing was removed)."""
     store = Scratch(docs.sparkSession, "substring")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scan = store.table("runs", rows.mapInArrow(_runs(window), RUNS))
+    scan = store.table("runs", rows.mapInArrow(trimmed(_runs(window)), RUNS))
     runs = scan.filter("anchor IS NOT NULL").select("id", "row", "anchor", "run", "first", "last")
     shared = store.table("anchors", runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor"))
     runs = store.table("shared", _only(runs, shared, ["anchor"]))
@@ -206,7 +207,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     ends = _only(found.filter("head.id = id"), mixed, ["anchor"]).groupBy("id", "row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     ends = store.table("ends", ends)
     some = _only(rows, store.table("ids", ends.select("id", "row")), ["id", "row"]).dropDuplicates(["id", "row"])
-    windows = store.table("windows", some.join(ends, ["id", "row"]).select("id", "row", "text", "spans").mapInArrow(_windows(window), "id long, row long, window binary, at long"))
+    windows = store.table("windows", some.join(ends, ["id", "row"]).select("id", "row", "text", "spans").mapInArrow(trimmed(_windows(window)), "id long, row long, window binary, at long"))
     where = F.min(F.struct("id", "row", "at")).alias("head")
     heads = windows.groupBy("window").agg(where, F.max("id").alias("latest"), F.count(F.lit(1)).alias("n"))
     heads = store.table("heads", heads.filter("head.id < latest").drop("latest"))
@@ -215,7 +216,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     span = F.struct("first", "last", "reference", "reference_row", "place")
     cut = store.table("cut", whole.unionByName(single).groupBy("id", "row").agg(F.collect_set(span).alias("spans")))
     some = _only(rows, store.table("cut-ids", cut.select("id", "row")), ["id", "row"]).dropDuplicates(["id", "row"])
-    parsed = some.join(cut, ["id", "row"]).select("id", "row", "text", "spans").mapInArrow(_parse(window), _PARSED).withColumnRenamed("sha", "cut_sha")
+    parsed = some.join(cut, ["id", "row"]).select("id", "row", "text", "spans").mapInArrow(trimmed(_parse(window)), _PARSED).withColumnRenamed("sha", "cut_sha")
     parsed = store.table("parsed", parsed if kept_text else parsed.select("id", "row", "n_removed", "cut_sha"))
     store.keep("runs", "parsed")
     out = scan.filter("anchor IS NULL").select("id", "row", "n_words", "sha").join(parsed, ["id", "row"], "left")

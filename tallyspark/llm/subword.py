@@ -15,6 +15,7 @@ Loss weights per class, and a calibration on rows kept out of training, are opti
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import _text
+from tallyspark.llm._memory import trim, trimmed
 
-SAMPLE, MOST_CHARS, SAMPLE_CHARS = 2500, 20_000, 12_000_000
+SAMPLE, MOST_CHARS, SAMPLE_CHARS = 2500, 20_000, 6_000_000
 _BASE = np.uint32(0x01000193)
 
 
@@ -174,19 +176,27 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def _bags(shape: Shape):
+    """label, bag: distances of feature numbers and their counts, compressed."""
+
     def run(batches):
-        for batch in batches:
-            rows = [[], [], []]
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = histogram((text or "").encode(), shape)
-                at = np.flatnonzero(counts)
-                for column, value in zip(rows, (label, at.astype("<u4").tobytes(), np.minimum(counts[at], 65535).astype("<u2").tobytes()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["label", "at", "counts"])
+        for whole in batches:
+            for batch in _text.slices(whole, 1):
+                bags = []
+                for text in batch.column(1).to_pylist():
+                    counts = histogram((text or "").encode(), shape)
+                    at = np.flatnonzero(counts)
+                    bags.append(zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes() + np.minimum(counts[at], 65535).astype("<u2").tobytes(), 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(bags, pa.binary())], names=["label", "bag"])
 
     return run
 
 
+def _bag(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zlib.decompress(data)
+    n = len(data) // 6
+    return np.cumsum(np.frombuffer(data, "<u4", n), dtype=np.uint32), np.frombuffer(data, "<u2", n, 4 * n)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, shape: Shape, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Model from the labelled rows for which ``learn`` (a condition on doc_id) holds."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -200,10 +210,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, shape
     sizes = texts.select("doc_id", "label", "chars", F.xxhash64("text").alias("mark"), F.row_number().over(by).alias("nth"), F.sum("chars").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
     sizes = sizes.filter((F.col("nth") <= sample) & (F.col("sum") <= SAMPLE_CHARS)).select("doc_id", "mark").distinct()
     texts = texts.withColumn("mark", F.xxhash64("text")).join(F.broadcast(sizes), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
-    rows = texts.select("label", "text").mapInArrow(_bags(shape), "label int, at binary, counts binary").collect()
-    rows.sort(key=lambda r: (r.label, bytes(r.at)[:64], bytes(r.counts)[:64]))  # the same order whatever the partitions
-    bags = [(np.frombuffer(r.at, "<u4"), np.frombuffer(r.counts, "<u2")) for r in rows]
-    return train(bags, [r.label for r in rows], shape, totals)
+    rows = texts.select("label", "text").mapInArrow(trimmed(_bags(shape)), "label int, bag binary").collect()
+    rows.sort(key=lambda r: (r.label, bytes(r.bag)))  # the same order whatever the partitions
+    bags, marks = [_bag(bytes(r.bag)) for r in rows], [r.label for r in rows]
+    del rows
+    model = train(bags, marks, shape, totals)
+    del bags
+    trim()
+    return model
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], shape: Shape) -> DataFrame:
@@ -222,5 +236,5 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], shape: Shape) -> Da
     names = [f"__{i}" for i in range(n)] + ["__score"]
     rows = docs.select(*[F.col(f"`{c}`").alias(names[i]) for i, c in enumerate(docs.columns)], F.col("text").alias("__text"))
     schema = rows.drop("__text").schema.add("__score", "double")
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(trimmed(run), schema)
     return out.select(*[F.col(names[i]).alias(c) for i, c in enumerate(docs.columns)], F.col("__score").alias("score"))

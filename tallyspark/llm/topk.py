@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import _files
+from tallyspark.llm._memory import trimmed
 from tallyspark.llm._store import Scratch
 
 SCALE, EVERY, K = 1024, 100, 10
@@ -212,7 +213,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, sca
     rows = sound(vectors)
     asked = sound(queries) if queries is not None else rows.filter(F.col("vec_id") % EVERY == 0)
     store.table("queries", asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    found = rows.mapInArrow(_search(f"{store.path}/queries", scale, k), "query_id long, vec_id long, score long")
+    found = rows.mapInArrow(trimmed(_search(f"{store.path}/queries", scale, k)), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
