@@ -308,21 +308,26 @@ def matcher(pattern: Typed) -> Callable[[Column], Column]:
     return lambda x: F.coalesce(F.rlike(x, F.regexp_replace(pattern.col, r"\(\?P<", "(?<")), F.lit(False))
 
 
-def _literal(pattern: Typed, name: str) -> str | None:
-    if not isinstance(pattern.constant, str):
-        raise QueryError(f"the pattern of {name} must be a literal")
-    return java_pattern(pattern.constant)
+def _dynamic(pattern: Typed) -> Column:
+    """A pattern that differs from row to row: named groups are adapted, all else must mean the same to Java; what Java
+    refuses is an error."""
+    return F.regexp_replace(pattern.col, r"\(\?P<", "(?<")
 
 
 @function("grep", (S, S), S)
 def _grep(c, pattern, s):
-    java = _literal(pattern, "grep")
+    if not isinstance(pattern.constant, str):
+        return F.nullif(F.call_function("regexp_extract", s.col, F.concat(F.lit("("), _dynamic(pattern), F.lit(")")), F.lit(1)), F.lit(""))
+    java = java_pattern(pattern.constant)
     return F.nullif(F.regexp_extract(s.col, f"({java})", 1), F.lit("")) if java is not None else F.lit(None).cast("string")
 
 
 @function("grepn", (S, S, I), S)
 def _grepn(c, pattern, s, n):
-    java = _literal(pattern, "grepn")
+    if not isinstance(pattern.constant, str):
+        found = F.call_function("regexp_extract", s.col, _dynamic(pattern), n.col.cast("int"))
+        return F.when(F.rlike(s.col, _dynamic(pattern)), found)
+    java = java_pattern(pattern.constant)
     if java is None or not isinstance(n.constant, int) or not 0 <= n.constant <= re.compile(re.sub(r"\(\?<([A-Za-z_])", r"(?P<\1", java).replace(r"\z", "$")).groups:
         return F.lit(None).cast("string")
     return F.when(s.col.rlike(java), F.regexp_extract(s.col, java, n.constant))
@@ -331,7 +336,11 @@ def _grepn(c, pattern, s, n):
 @function("subst", (S, S, S), S)
 def _subst(c, pattern, replacement, s):
     """Templates name groups as $1 or ${name}; a name is as long as it can be."""
-    java = _literal(pattern, "subst")
+    if not isinstance(pattern.constant, str) or not isinstance(replacement.constant, str):
+        template = F.replace(replacement.col, F.lit("\\"), F.lit("\\\\"))
+        java = java_pattern(pattern.constant) if isinstance(pattern.constant, str) else None
+        return F.regexp_replace(s.col, F.lit(java) if java is not None else _dynamic(pattern), template)
+    java = java_pattern(pattern.constant)
     if java is None:
         return s.col
     groups = re.compile(re.sub(r"\(\?<([A-Za-z_])", r"(?P<\1", java).replace(r"\z", "$"))
@@ -344,7 +353,7 @@ def _subst(c, pattern, replacement, s):
             return f"${name}" if int(name) <= groups.groups else ""
         return f"${groups.groupindex[name]}" if name in groups.groupindex else ""
 
-    template = re.sub(r"\$\$|\$(?:\{(\w+)\}|(\w+))", one, str(replacement.constant).replace("\\", "\\\\"))
+    template = re.sub(r"\$\$|\$(?:\{(\w+)\}|(\w+))", one, replacement.constant.replace("\\", "\\\\"))
     return F.regexp_replace(s.col, java, template)
 
 

@@ -1,7 +1,6 @@
 """Lots of one account: additions, and reductions by the account's booking method.
 
-Reductions are planned on the lots as they are and applied only as a whole, so that a failed transaction
-leaves every account as it was.
+A failed transaction leaves every account as it was: what it did is taken back.
 """
 
 from __future__ import annotations
@@ -53,34 +52,67 @@ _ORDERS: dict[str, tuple[Callable, bool]] = {
 
 
 class Holdings:
-    """Lots by currency."""
+    """Lots by currency and cost, in the order in which they came; totals by currency.
 
-    def __init__(self):
-        self.lots: dict[str, list[Lot]] = {}
+    Between ``begin`` and ``end`` every change is noted, so that a failed transaction can be taken back without
+    copying an account's lots for each transaction."""
 
-    def copy(self) -> "Holdings":
-        out = Holdings()
-        out.lots = {c: [replace(x) for x in lots] for c, lots in self.lots.items()}
-        return out
+    def __init__(self):
+        self.lots: dict[str, dict[LotCost | None, Lot]] = {}
+        self.totals: dict[str, Decimal] = {}
+        self.log: list[tuple] | None = None
+
+    def begin(self) -> None:
+        self.log = []
+
+    def end(self, keep: bool) -> None:
+        for currency, cost, units, total in reversed(self.log or []) if not keep else ():
+            if isinstance(units, list):
+                self.lots[currency] = {x.cost: x for x in units}
+            elif units is None:
+                self.lots[currency].pop(cost, None)
+            else:
+                self.lots[currency][cost].units = units
+            self.totals[currency] = total
+        self.log = None
+
+    def _note(self, currency: str, cost: LotCost | None, units) -> None:
+        if self.log is not None:
+            self.log.append((currency, cost, units, self.total(currency)))
+
+    def _note_all(self, currency: str) -> None:
+        """Before lots go, or change in number: all of the currency, in their order."""
+        if self.log is not None:
+            self._note(currency, None, [replace(x) for x in self.lots.get(currency, {}).values()])
 
     def total(self, currency: str) -> Decimal:
-        return sum((x.units for x in self.lots.get(currency, ())), Decimal(0))
+        return self.totals.get(currency, Decimal(0))
+
+    def any_at_cost(self, currency: str) -> bool:
+        return any(x.cost and x.units > 0 for x in self.lots.get(currency, {}).values())
 
     def add(self, currency: str, units: Decimal, cost: LotCost | None) -> None:
-        lots = self.lots.setdefault(currency, [])
-        for lot in lots:
-            if lot.cost == cost:
-                lot.units += units
-                break
-        else:
-            lots.append(Lot(units, cost))
-        self.lots[currency] = [x for x in lots if x.units]
+        lots = self.lots.setdefault(currency, {})
+        lot = lots.get(cost)
+        if lot is not None and lot.units + units == 0:
+            self._note_all(currency)
+            del lots[cost]
+        elif lot is not None:
+            self._note(currency, cost, lot.units)
+            lot.units += units
+        elif units:
+            self._note(currency, cost, None)
+            lots[cost] = Lot(units, cost)
+        self.totals[currency] = self.total(currency) + units
 
     def reduce(self, currency: str, units: Decimal, wanted: Wanted, method: str) -> list[tuple[Decimal, LotCost]]:
         """Takes ``units`` (positive) out of fitting lots; returns what was taken from which."""
-        held = [x for x in self.lots.get(currency, ()) if x.cost is not None and x.units > 0]
+        self._note_all(currency)
+        lots = self.lots.setdefault(currency, {})
+        held = [x for x in lots.values() if x.cost is not None and x.units > 0]
         if wanted.merge:
             held = [self._average(currency, held)]
+            lots = self.lots[currency]
         else:
             held = [x for x in held if wanted.fits(x.cost)]
         available = sum((x.units for x in held), Decimal(0))
@@ -98,7 +130,9 @@ class Holdings:
                 taken.append((n, lot.cost))
                 lot.units -= n
                 units -= n
-        self.lots[currency] = [x for x in self.lots[currency] if x.units]
+                self.totals[currency] = self.total(currency) - n
+            if not lot.units:
+                del lots[lot.cost]
         return taken
 
     def _average(self, currency: str, held: list[Lot]) -> Lot:
@@ -109,5 +143,8 @@ class Holdings:
         units = sum(x.units for x in held)
         cost = LotCost(sum(x.units * x.cost.number for x in held) / units, held[0].cost.currency, min((x.cost.date for x in held if x.cost.date), default=None))
         lot = Lot(units, cost)
-        self.lots[currency] = [x for x in self.lots[currency] if not any(x is h for h in held)] + [lot]
+        rest = {c: x for c, x in self.lots[currency].items() if not any(x is h for h in held)}
+        if cost in rest:
+            raise BookingError(f"a lot of {currency} at the average cost exists already")
+        self.lots[currency] = rest | {cost: lot}
         return lot

@@ -11,11 +11,14 @@ def inherited_dates(rows: DataFrame) -> DataFrame:
 
     Lots are kept per account, currency and unit cost, in ledger order. An undated cost takes the earliest
     date of a lot of the opposite sign, else its own entry's date. Only keys that have an undated cost
-    beside others are folded, one group of rows a key.
+    are folded, one group of rows a key; ``ord`` must be unique.
     """
     keys = ["account", "currency", "cost.currency", "cost.number"]
     held = rows.filter("cost IS NOT NULL AND number IS NOT NULL").select("ord", "date", "number", F.col("cost.date").alias("cost_date"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
 
+    undated = held.filter("cost_date IS NULL").select("k0", "k1", "k2", "k3").distinct()
+    held = held.join(undated, ["k0", "k1", "k2", "k3"], "left_semi")
+
     def fold(group):
         group = group.sort_values("ord")
         lots, found = {}, []

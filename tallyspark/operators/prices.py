@@ -33,15 +33,15 @@ def latest(all_edges: DataFrame, date: dt.date | Column | None = None) -> DataFr
     return known.groupBy("source", "target").agg(F.max_by("rate", newest).alias("rate"), F.min("ord").alias("ord"))
 
 
-def paths(direct: list[tuple[str, str, Decimal, int]], wanted: str | None = None) -> dict[tuple[str, str], Decimal]:
-    """Rates of all pairs joined by a path: fewest hops, then the order in which edges came."""
+def paths(direct: list[tuple[str, str, Decimal, int]], wanted: str | None = None, starts: set[str] | None = None) -> dict[tuple[str, str], Decimal]:
+    """Rates of all pairs joined by a path: fewest hops, then the order in which edges came. ``starts``: only from these."""
     out_of: dict[str, list[tuple[str, Decimal]]] = {}
     for source, target, rate, _ in sorted(direct, key=lambda e: e[3]):
         out_of.setdefault(source, []).append((target, Decimal(rate)))
     found = {}
-    for start in out_of:
+    for start in out_of if starts is None else [x for x in out_of if x in starts]:
         best, queue = {start: Decimal(1)}, deque([start])
-        while queue:
+        while queue and wanted not in best:
             at = queue.popleft()
             for target, rate in out_of.get(at, ()):
                 if target not in best:
@@ -79,6 +79,25 @@ class PriceBook:
         filled = known.unionByName(asked.select(known.columns)).withColumn("rate", F.last("rate", ignorenulls=True).over(order))
         return filled.filter("asked = 1 AND rate IS NOT NULL").drop("asked")
 
+    def to_quote(self, dates: DataFrame, quote: str) -> DataFrame:
+        """date, rates (source -> rate in ``quote``) of each asked date.
+
+        A direct rate is the shortest path there is; only dates on which some currency has none are walked."""
+        direct = self.direct_by_date(dates)
+        one = direct.filter(F.col("target") == quote).select("date", "source", "rate")
+        known, mine = F.collect_set("source"), F.collect_set(F.when(F.col("target") == quote, F.col("source")))
+        lacking = F.array_except(known, F.concat(mine, F.array(F.lit(quote))))
+        left = direct.groupBy("date").agg(lacking.alias("lacking")).filter(F.size("lacking") > 0)
+
+        def walk(key, rows):
+            import pandas as pd
+
+            found = paths(list(rows[["source", "target", "rate", "ord"]].itertuples(index=False, name=None)), quote, set(rows["lacking"].iloc[0]))
+            return pd.DataFrame([(key[0], s, round(r, 10)) for (s, _), r in found.items()], columns=["date", "source", "rate"])
+
+        walked = direct.join(left, "date").groupBy("date").applyInPandas(walk, f"date date, source string, rate {RATE}")
+        return one.unionByName(walked).groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("source", "rate"))).alias("rates"))
+
     def by_date(self, dates: DataFrame) -> DataFrame:
         """date, rates (target -> source -> rate) of each asked date."""
 

@@ -1,8 +1,8 @@
 """Checks, completes and books the directives of one ledger in order.
 
 Each transaction is checked on its own (accounts, currencies, what may be left out, weights within
-tolerance), then its reductions are planned on copies of the accounts it touches; only if all of that holds is
-it applied. Balance assertions see the accounts at the start of their day, and pads fill what they lack.
+tolerance), then booked on the accounts it touches, which take back what it did unless all of that
+holds. Balance assertions see the accounts at the start of their day, and pads fill what they lack.
 """
 
 from __future__ import annotations
@@ -40,6 +40,10 @@ class Diagnostic:
     account: str | None = None
 
 
+def _has_empty(meta: list) -> bool:
+    return any(kind == "string" and value == "" for _, (kind, value) in meta)
+
+
 def digits(x: Decimal) -> int:
     return max(0, -x.as_tuple().exponent)
 
@@ -64,8 +68,10 @@ class Ledger:
         self.pads: dict[str, dict] = {}
         self.padding: list[Directive] = []
         self.invalid: set[int] = set()
+        self.errors = 0
 
     def report(self, d: Directive, code: str, message: str, account: str | None = None, severity: str = "error") -> None:
+        self.errors += severity == "error"
         self.diagnostics.append(Diagnostic(severity, code, message, d.filename, d.line, d.date, account))
 
     def active(self, account: str, date: dt.date, closed_too: bool = False) -> str | None:
@@ -81,15 +87,17 @@ class Ledger:
         order = sorted(range(len(directives)), key=lambda i: (directives[i].date, _PRIORITY.get(directives[i].kind, 0), directives[i].line, i))
         out = [directives[i] for i in order]
         for d in out:
-            before = len([x for x in self.diagnostics if x.severity == "error"])
+            before = self.errors
             keys = [k for k, _ in d.meta]
             if len(keys) != len(set(keys)):
                 self.report(d, "duplicate_metadata", "a metadata key is given twice")
             if d.date.year < 1:
                 self.report(d, "date", "the date is out of range")
-            if before == len([x for x in self.diagnostics if x.severity == "error"]):
+            if d.kind == "transaction" and _has_empty(d.meta):
+                self.report(d, "empty_metadata", "a metadata value is empty")
+            if before == self.errors:
                 getattr(self, f"on_{d.kind}")(d)
-            if before != len([x for x in self.diagnostics if x.severity == "error"]):
+            if before != self.errors:
                 self.invalid.add(id(d))
         for pad in self.pads.values():
             if not pad["used"]:
@@ -196,6 +204,8 @@ class Ledger:
             keys = [k for k, _ in p.meta]
             if len(keys) != len(set(keys)):
                 return self.report(d, "duplicate_metadata", "a metadata key is given twice", p.account)
+            if _has_empty(p.meta):
+                return self.report(d, "empty_metadata", "a metadata value is empty", p.account)
             if p.cost and (why := self._cost_fault(p)):
                 return self.report(d, "cost", why, p.account)
             if p.price and p.price_total and p.units and p.units.number is not None and not p.units.number:
@@ -203,18 +213,22 @@ class Ledger:
             if p.price and p.price.number is not None and p.price.number < 0:
                 return self.report(d, "price", "a negative price", p.account)
         trial = deepcopy(d.postings)
-        held = {p.account: self.accounts[p.account].holdings.copy() for p in trial}
+        held = {p.account: self.accounts[p.account].holdings for p in trial}
+        for holdings in held.values():
+            holdings.begin()
+        done = False
         try:
             booked = self._booked(trial, d, held)
+            for p in booked:
+                allowed = self.accounts[p.account].currencies
+                if allowed and p.units.currency not in allowed:
+                    return self.report(d, "currency", f"{p.account} doesn't hold {p.units.currency}", p.account)
+            d.postings, done = booked, True
         except (BookingError, BalanceError) as e:
             return self.report(d, e.code if isinstance(e, BalanceError) else "booking", str(e))
-        for p in booked:
-            allowed = self.accounts[p.account].currencies
-            if allowed and p.units.currency not in allowed:
-                return self.report(d, "currency", f"{p.account} doesn't hold {p.units.currency}", p.account)
-        d.postings = booked
-        for name, holdings in held.items():
-            self.accounts[name].holdings = holdings
+        finally:
+            for holdings in held.values():
+                holdings.end(done)
 
     @staticmethod
     def _cost_fault(p: Posting) -> str | None:
@@ -305,8 +319,7 @@ class Ledger:
                 weigh(n, currency)
             return [p]
         unit = unit_cost(p.cost, n)
-        shorts = [x for x in held[p.account].lots.get(currency, ()) if x.cost and x.units > 0]
-        if n < 0 and account.booking != "NONE" and (shorts or p.cost.empty or unit is None or p.cost.merge):
+        if n < 0 and account.booking != "NONE" and (held[p.account].any_at_cost(currency) or p.cost.empty or unit is None or p.cost.merge):
             wanted = Wanted(unit, p.cost.currency, p.cost.date, p.cost.label, p.cost.merge)
             parts = []
             for units, cost in held[p.account].reduce(currency, -n, wanted, account.booking):

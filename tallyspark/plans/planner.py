@@ -61,6 +61,9 @@ class Context:
             if self.rows is None:
                 raise QueryError("the date of a conversion of aggregates must be a constant")
             dates = self.rows.select(when.col.alias("date"))
+            if quote is not None and isinstance(quote.constant, str):
+                found = self.lookup(self.ledger.price_book.to_quote(dates, quote.constant), "date", when.col, "rates")
+                return F.coalesce(found, F.create_map().cast(_MAP))
             every = self.lookup(self.ledger.price_book.by_date(dates), "date", when.col, "rates")
         if quote is None:
             return F.coalesce(every, F.create_map().cast(f"map<string,{_MAP}>"))
@@ -238,8 +241,7 @@ class Planner:
             rows = summarize.open_on(self.context, self.dated(rows), source.open_on)
         rows = summarize.close(rows, source.close_on)
         if source.clear:
-            entries = summarize.close(self.ledger.entries, source.close_on)
-            rows = summarize.clear(self.context, self.dated(rows), entries.agg(F.max("date")).first()[0])
+            rows = summarize.clear(self.context, self.dated(rows), self.ledger.last_date(source.close_on))
         if source.where is not None:
             self.context.rows = rows
             keep = V.truth(self.expression(source.where, R.ENTRY_COLUMNS, "FROM clause"))

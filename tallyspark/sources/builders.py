@@ -32,6 +32,7 @@ def from_bank_csv(spark: SparkSession, path: str, account: str, other: str, curr
     """Posting rows of a bank's CSV with columns Date, Payee and Amount: each line is a transaction of two postings."""
     lines = spark.read.schema("Date date, Payee string, Amount decimal(18,2)").csv(path, header=True)
     key = F.monotonically_increasing_id()
+    key = F.when(key < 1 << 44, key).otherwise(F.raise_error(F.lit("too many parts of a CSV file to number its lines")).cast("bigint"))
     lines = lines.select(key.alias("entry_id"), F.col("Date").alias("date"), F.trim("Payee").alias("payee"), F.lit("").alias("narration"), F.lit("*").alias("flag"), F.lit(currency).alias("currency"), F.lit(2).alias("scale"), F.array(F.lit(account), F.lit(other)).alias("accounts"), "Amount")
     legs = F.array(F.struct(F.lit(account).alias("account"), F.col("Amount").alias("number")), F.struct(F.lit(other).alias("account"), (-F.col("Amount")).cast("decimal(18,2)").alias("number")))
     day = F.shiftleft(F.datediff("date", F.lit("1970-01-01")).cast("bigint"), 46)

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 from collections.abc import Iterable
 from decimal import Decimal
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def _meta(items: list) -> list[dict]:
     return [{"key": k, "value": _object(v)} for k, v in items]
 
 
-def rows_of(ledger: str, files: list[tuple[str, str]], existing: set[str] | None = None, extra: Iterable[T.Directive] = ()) -> list[dict]:
+def rows_of(ledger: str, files: list[tuple[str, str | bytes]], existing: set[str] | None = None, extra: Iterable[T.Directive] = ()) -> list[dict]:
     """All rows of one ledger; the first file is its root."""
     out: list[dict] = []
 
@@ -61,7 +63,9 @@ def rows_of(ledger: str, files: list[tuple[str, str]], existing: set[str] | None
     parsed = []
     for name, text in files:
         try:
-            parsed.append(T.parse(text, name))
+            parsed.append(T.parse(text.decode() if isinstance(text, bytes) else text, name))
+        except UnicodeDecodeError as e:
+            diagnostic("error", "syntax", f"the file is not UTF-8: {e.reason} at byte {e.start}", name, text.count(b"\n", 0, e.start) + 1)
         except T.ParseError as e:
             diagnostic("error", "syntax", e.message, e.filename, e.line)
     config, wrong = config_of(parsed[0].options if parsed else [])
@@ -107,7 +111,7 @@ def _book(existing: dict[str, set[str]] | None, extra: list[T.Directive]):
         import pandas as pd
 
         rows = rows.sort_values("nth")
-        made = rows_of(key[0], list(zip(rows["path"], [bytes(b).decode() for b in rows["content"]], strict=True)), (existing or {}).get(key[0]), extra)
+        made = rows_of(key[0], list(zip(rows["path"], [bytes(b) for b in rows["content"]], strict=True)), (existing or {}).get(key[0]), extra)
         return pd.DataFrame([[r.get(c) for c in FORM] for r in made], columns=list(FORM), dtype=object)
 
     return run
@@ -159,11 +163,16 @@ def _beside(path: str, name: str) -> str:
     return scheme + sep + str(PurePosixPath(*parts))
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of all files below a folder: names only, a row a file; AnalysisException if there is no such folder."""
+    return [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path").collect()]
+
+
 def documents(spark: SparkSession, folders: list[str], accounts: set[str]) -> list[T.Directive]:
     """Document directives of files named by date in folders named like accounts that the ledger mentions."""
     out = []
     for folder in folders:
-        paths = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path").collect()]
+        paths = listed(spark, folder)
         for path in sorted(map(_plain, paths)):
             inner = PurePosixPath(path).relative_to(_plain(folder))
             account, dated = ":".join(inner.parts[:-1]), _DATED.match(inner.name)
@@ -203,22 +212,31 @@ def load(spark: SparkSession, path: str, keep: str | None = None, check_document
     order = {p: i for i, p in enumerate(map(_plain, paths))}
     files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
     nth = F.create_map(*[x for p, i in order.items() for x in (F.lit(p), F.lit(i))])
-    files = files.select(F.lit(path).alias("ledger"), F.coalesce(F.try_element_at(nth, F.col("path")), F.lit(0)).alias("nth"), "path", "content")
-    existing, extra = None, []
+    files = files.select(F.lit(path).alias("ledger"), F.coalesce(F.try_element_at(nth, F.col("path")), F.lit(0)).alias("nth"), "path", "content", F.lit(uuid.uuid4().hex).alias("version"))  # else what an earlier load has cached would be taken
+    first = tables(files).persist()  # booked once, unless documents must be looked up
+    existing, extra, missing = None, [], []
     if check_documents:
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(PurePosixPath(_plain(path)).parent)).select("path")
-        mentioned = tables(files).filter("part = 'entry' AND type = 'document'")
-        if not mentioned.isEmpty():
-            existing = {path: {_plain(r.path) for r in listed.collect()}}
+        if not first.filter("part = 'entry' AND type = 'document'").isEmpty():
+            existing = {path: set(map(_plain, listed(spark, str(PurePosixPath(_plain(path)).parent))))}
         root = files.filter("nth = 0").select("content").first()
         try:
             config, _ = config_of(T.parse(bytes(root.content).decode(), path).options)
-        except T.ParseError:
+        except (T.ParseError, UnicodeDecodeError):
             config = None
         if config and config.documents:
-            accounts = {r.account for r in tables(files).filter("part = 'account'").select("account").collect()}
-            extra = documents(spark, [_beside(path, d) for d in config.documents], accounts)
-    return as_ledger(_kept(spark, tables(files, existing, extra), keep))
+            accounts = {r.account for r in first.filter("part = 'account'").select("account").collect()}
+            for folder in config.documents:
+                try:
+                    extra += documents(spark, [_beside(path, folder)], accounts)
+                except AnalysisException:
+                    missing.append(folder)
+    again = existing is not None or extra
+    out = as_ledger(_kept(spark, tables(files, existing, extra) if again else first, keep))
+    if missing:
+        found = [("error", "document", f"the folder {m} does not exist", path, 0) for m in missing]
+        found = spark.createDataFrame(found, "severity string, code string, message string, filename string, lineno long")
+        out.diagnostics = out.diagnostics.unionByName(found, allowMissingColumns=True)
+    return out
 
 
 def load_text(spark: SparkSession, text: str, name: str = "<text>") -> Ledger:

@@ -1,7 +1,8 @@
 """A ledger over order tables: every line item is a balanced transaction of two postings.
 
-The number of a posting comes from its order's date and key and its place within the order, so that it
-needs no global sort and is the same however often it is computed.
+The number of a posting comes from its order's date (16 bits of days), key (40 bits) and its place within the order
+(6 bits), so that it needs no global sort and is the same however often it is computed; a key or place beyond
+that is an error.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
     cash, spent = F.concat(F.lit("Assets:"), "segment"), F.concat_ws(":", F.lit("Expenses"), "p_type", "p_brand")
     n = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).cast(MONEY)
     currency = F.element_at(F.array(*map(F.lit, CURRENCIES)), F.least(F.col("regionkey"), F.lit(4)).cast("int") + 1)
-    base = F.shiftleft(F.datediff("date", F.lit("1970-01-01")).cast("bigint"), 46) + F.shiftleft(F.col("entry_id"), 8) + F.col("nth") * 2
+    fits = F.col("entry_id").between(0, (1 << 40) - 1) & (F.col("nth") <= 31) & F.datediff("date", F.lit("1970-01-01")).between(-(1 << 15), (1 << 15) - 1)
+    base = F.shiftleft(F.datediff("date", F.lit("1970-01-01")).cast("bigint"), 46) + F.shiftleft(F.col("entry_id"), 6) + F.col("nth") * 2
+    base = F.when(fits, base).otherwise(F.raise_error(F.lit("an order's key, date or number of lines is out of range")).cast("bigint"))
     lines = lines.select("entry_id", "date", "type", "flag", "payee", "narration", n.alias("n"), currency.alias("currency"), base.alias("base"), cash.alias("cash"), spent.alias("spent"))
     legs = F.array(F.struct(F.col("base").alias("ord"), F.col("spent").alias("account"), F.col("n").alias("number")), F.struct((F.col("base") + 1).alias("ord"), F.col("cash").alias("account"), (-F.col("n")).cast(MONEY).alias("number")))
     return lines.select("entry_id", "date", "type", "flag", "payee", "narration", "currency", F.array("spent", "cash").alias("accounts"), F.lit(2).alias("scale"), F.explode(legs).alias("leg")).select("*", "leg.*").drop("leg")

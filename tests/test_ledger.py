@@ -2,6 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.language.syntax import QueryError
 from tallyspark.operators import inventory, prices, tree
@@ -89,8 +90,8 @@ def test_running_balance(ledger):
 
 def test_balance_is_the_same_for_any_number_of_buckets(ledger):
     want = None
-    for buckets in (1, 2, 5, 64):
-        got = [(r.ord, r.b) for r in inventory.running(ledger.postings, position(), "b", buckets).select("ord", "b").orderBy("ord").collect()]
+    for bucket_rows in (1, 2, 5, 64):
+        got = [(r.ord, r.b) for r in inventory.running(ledger.postings, position(), "b", bucket_rows).select("ord", "b").orderBy("ord").collect()]
         want = want or got
         assert got == want
 
@@ -198,13 +199,118 @@ def test_includes_documents_and_cycles(spark, tmp_path):
 
 
 def test_watch_reloads(spark, tmp_path):
+    import time
+
     folder = tmp_path / "books"
     folder.mkdir()
-    (folder / "main.ledger").write_text("2020-01-01 open Assets:A\n")
+    main = folder / "main.ledger"
+    main.write_text("2020-01-01 open Assets:A\n")
     seen = []
-    query = watch(spark, str(folder), str(folder / "main.ledger"), lambda l, n: seen.append(l.accounts.count()), str(tmp_path / "state"), once=True)
-    query.awaitTermination()
-    assert seen == [1]
+    query = watch(spark, str(folder), str(main), lambda l, n: seen.append(l.accounts.count()), str(tmp_path / "state"))
+    try:
+        for text in (None, "2020-01-01 open Assets:A\n2020-01-01 open Assets:B\n", "2020-01-01 open Assets:A\n2020-01-01 open Assets:B\n2020-01-01 open Assets:C\n"):
+            if text:
+                main.write_text(text)
+            want, began = (text or "x open").count("open"), time.time()
+            while (not seen or seen[-1] != want) and time.time() - began < 60:
+                time.sleep(0.2)
+            assert seen[-1] == want
+    finally:
+        query.stop()
+
+
+def test_files_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "good.ledger").write_text('2020-01-01 open Assets:A\n2020-01-01 open Equity:B\n2020-01-02 * "x"\n  Assets:A  1 USD\n  Equity:B\n')
+    (tmp_path / "bad.ledger").write_bytes(b"2020-01-01 open Assets:A\n2020-01-02 note Assets:A \"\xff\"\n")
+    found = loader.load(spark, str(tmp_path / "bad.ledger"))
+    assert [(r.code, r.lineno) for r in found.diagnostics.collect()] == [("syntax", 2)]
+    many = loader.load_many(spark, str(tmp_path))
+    assert many.filter("part = 'posting'").count() == 2 and many.filter("part = 'diagnostic'").count() == 1
+
+
+def test_missing_documents_folder(spark, tmp_path):
+    (tmp_path / "main.ledger").write_text('option "documents" "nowhere"\n2020-01-01 open Assets:A\n')
+    found = loader.load(spark, str(tmp_path / "main.ledger"))
+    assert [r.message for r in found.diagnostics.collect()] == ["the folder nowhere does not exist"]
+
+
+PERIOD = """2020-01-01 open Assets:Cash
+2020-01-01 open Income:Work
+2020-01-01 open Expenses:Food
+2020-02-01 * "Work"
+  Assets:Cash  100.00 EUR
+  Income:Work
+2021-02-01 * "Food"
+  Expenses:Food  40.50 EUR
+  Assets:Cash
+"""
+
+
+def test_print_after_open_and_clear(spark):
+    ledger = loader.load_text(spark, PERIOD)
+    plain, cleared, opened = (list(printed(ledger, f"PRINT {x}")) for x in ("", "FROM CLEAR", "FROM OPEN ON 2021-01-01"))
+    assert cleared[: len(plain)] == plain
+    assert cleared[len(plain) :][1].startswith('2021-02-01 T "Transfer balance for \'Expenses:Food\'') and [x.split() for x in cleared[len(plain) :][2:4]] == [["Expenses:Food", "-40.50", "EUR"], ["Equity:Earnings:Current", "40.50", "EUR"]]
+    assert sum(x.startswith("2021-02-01 T") for x in cleared) == 2
+    assert opened[1].startswith('2020-12-31 S "Opening balance for \'Assets:Cash\'') and not any("2020-02-01" in x for x in opened)
+    assert sum(" open " in x for x in opened) == 3 and [x.split() for x in opened[2:4]] == [["Assets:Cash", "100.00", "EUR"], ["Equity:Opening-Balances", "-100.00", "EUR"]]
+
+
+def test_undated_lots_take_dates_in_queries(spark):
+    rows_ = spark.sql("""SELECT * FROM VALUES (1L, DATE '2020-01-01', 5, DATE '2020-01-01'), (2L, DATE '2020-02-01', 5, DATE '2020-02-01'), (3L, DATE '2020-03-01', -5, CAST(NULL AS DATE)) AS t(ord, date, n, lot)""")
+    rows_ = rows_.selectExpr("ord", "ord AS entry_id", "date", "'Assets:A' AS account", "CAST(n AS DECIMAL(28,10)) AS number", "'X' AS currency", "named_struct('number', CAST(2 AS DECIMAL(28,10)), 'scale', 0, 'currency', 'EUR', 'date', lot, 'label', CAST(NULL AS STRING)) AS cost")
+    ledger = Ledger.of(rows_).checked()
+    assert ledger.has_undated_costs
+    assert [r[0] for r in ledger.query("SELECT cost_date").df.collect()] == [dt.date(2020, 1, 1), dt.date(2020, 2, 1), dt.date(2020, 1, 1)]
+    with pytest.raises(ValueError):
+        Ledger.of(rows_.unionByName(rows_)).checked()
+
+
+def test_patterns_that_differ_by_row(spark):
+    ledger = loader.load_text(spark, PERIOD)
+    found = ledger.query("SELECT DISTINCT account, grep(root(account, 1), account) AS g, subst(root(account, 1), leaf(account), account) AS s, grepn(leaf(account), account, 0) AS n").df.collect()
+    assert {tuple(r) for r in found} == {(a, a.split(":")[0], f"{a.split(':')[1]}:{a.split(':')[1]}", a.split(":")[1]) for a in ("Assets:Cash", "Income:Work", "Expenses:Food")}
+
+
+def test_booking_stays_linear():
+    import time
+
+    from tallyspark.operators.booking import BookingError, Holdings, LotCost, Wanted
+
+    def seconds(n):
+        held, began = Holdings(), time.perf_counter()
+        for i in range(n):
+            held.begin()
+            held.add("X", Decimal(1), LotCost(Decimal(i), "EUR", dt.date(2020, 1, 1)))
+            held.end(i % 10 != 9)
+        assert held.total("X") == n - n // 10 == len(held.lots["X"])
+        return time.perf_counter() - began
+
+    assert seconds(20_000) < 40 * seconds(2_000)
+    held = Holdings()
+    for i in range(4):
+        held.add("X", Decimal(2), LotCost(Decimal(i), "EUR", dt.date(2020, 1, 4 - i)))
+    before = [(x.cost, x.units) for x in held.lots["X"].values()]
+    held.begin()
+    held.reduce("X", Decimal(3), Wanted(), "FIFO")
+    held.add("X", Decimal(-1), LotCost(Decimal(0), "EUR", dt.date(2020, 1, 4)))
+    with pytest.raises(BookingError):
+        held.reduce("X", Decimal(50), Wanted(), "FIFO")
+    held.end(False)
+    assert [(x.cost, x.units) for x in held.lots["X"].values()] == before and held.total("X") == 8
+
+
+@pytest.mark.parametrize("options", [{"bucket_rows": 7}, {"bucket_rows": 7, "few_lots": 0}, {"bucket_rows": 1}, {}])
+def test_running_balance_in_buckets(spark, options):
+    from tallyspark.operators import inventory
+    from tallyspark.plans import rows as R
+
+    rows_ = Ledger.of(builders.generated(spark, 120, 5)).postings.withColumn("currency", F.when(F.col("ord") % 3 == 0, "EUR").otherwise("USD"))
+    found = {r.ord: {p.currency: p.number for p in r.balance} for r in inventory.running(rows_, R.position(), "balance", **options).collect()}
+    total = {}
+    for r in rows_.orderBy("ord").collect():
+        total[r.currency] = total.get(r.currency, 0) + r.number
+        assert found[r.ord] == {c: n for c, n in total.items() if n}
 
 
 def test_builders_and_generator(spark, tmp_path):
