@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark import text_queries
 from tallyspark.operators import checks, prices, tree
 from tallyspark.plans.planner import Result
 from tallyspark.plans.values import Kind
@@ -127,7 +128,12 @@ TEXTS: dict[str, tuple[str, str, str | None]] = {
     "f27_safediv": ("posting", "SELECT currency, sum(safediv(number, 4)) AS q GROUP BY currency", "SELECT currency, CAST(sum(CAST(number AS DECIMAL(18,4)) * 0.25) AS DOUBLE) AS q FROM posting GROUP BY currency"),
     "f28_str": ("posting", "SELECT DISTINCT str(date) AS d, str(flag = '*') AS b, str(42) AS i", "SELECT DISTINCT CAST(date AS VARCHAR) AS d, CASE WHEN flag = '*' THEN 'True' ELSE 'False' END AS b, '42' AS i FROM posting"),
     "f29_length_bytes": ("posting", "SELECT DISTINCT account, length(account) AS n, length(other_accounts) AS m", "SELECT DISTINCT account, CAST(strlen(account) AS BIGINT) AS n, CAST(1 AS BIGINT) AS m FROM posting"),
-    "f30_maxwidth": ("posting", "SELECT DISTINCT narration, maxwidth(description, 20) AS s", None),
+    "f30_maxwidth": (
+        "posting", "SELECT DISTINCT narration, maxwidth(narration, 12) AS s",
+        """, n AS (SELECT DISTINCT narration, string_split(narration, ' ') AS w FROM posting)
+           SELECT narration, CASE WHEN length(narration) <= 12 THEN narration
+             ELSE coalesce(list_max(list_filter(list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[1:i], ' ') || ' [...]'), lambda x: length(x) <= 12)), '[...]') END AS s FROM n""",
+    ),
     "f31_case": ("posting", "SELECT DISTINCT upper(account) AS u, lower(account) AS l", "SELECT DISTINCT upper(account) AS u, lower(account) AS l FROM posting"),
     "f32_grep": ("posting", "SELECT DISTINCT account, grep('[A-Z]+$', account) AS g", "SELECT DISTINCT account, nullif(regexp_extract(account, '[A-Z]+$'), '') AS g FROM posting"),
     "f33_grepn": ("posting", "SELECT DISTINCT account, grepn('(\\w+):(\\w+)', account, 2) AS g", "SELECT DISTINCT account, regexp_extract(account, '(\\w+):(\\w+)', 2) AS g FROM posting"),
@@ -195,7 +201,7 @@ def p04_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = tpch.ledger(spark, sf_dir).price_book
     rates = book.by_date(spark.sql("SELECT DATE '2024-01-15' AS date"))
     pairs = rates.select(F.explode("rates").alias("target", "by")).select("target", F.explode("by").alias("source", "rate"))
-    return pairs.filter("target <> 'USD' AND source <> 'USD'").select("source", "target", F.round(F.col("rate").cast("double"), 4).alias("rate"))
+    return pairs.filter("target <> 'USD' AND source <> 'USD'").select("source", "target", F.round(F.col("rate").cast("double"), 2).alias("rate"))
 
 
 def x07_lot_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +271,11 @@ _ASSERT = "a AS (SELECT DISTINCT account, currency, d AS date FROM posting, (VAL
 FUNCTIONS: dict[str, tuple[Callable, str | None]] = {
     "p02_inverse_edges": (p02_inverse_edges, f"WITH {PRICE} SELECT base AS source, quote AS target, count(*) AS n, min(date) AS first FROM price GROUP BY ALL UNION ALL SELECT quote, base, count(*), min(date) FROM price GROUP BY ALL"),
     "p03_forward_fill": (p03_forward_fill, f"WITH {PRICE}, d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-02-10', INTERVAL 3 DAYS)) AS DATE) AS date), g AS (SELECT d.date, base FROM d CROSS JOIN (SELECT DISTINCT base FROM daily)) SELECT g.date, g.base AS source, CAST(daily.rate AS DOUBLE) AS rate FROM g ASOF JOIN daily ON g.base = daily.base AND g.date >= daily.date"),
-    "p04_two_hop": (p04_two_hop, None),
+    "p04_two_hop": (
+        p04_two_hop,
+        f"""WITH {PRICE}, r AS (SELECT base, arg_max(rate, date) AS rate FROM daily WHERE date <= DATE '2024-01-15' GROUP BY base)
+        SELECT s.base AS source, t.base AS target, round(CAST(s.rate AS DOUBLE) * round(1 / CAST(t.rate AS DOUBLE), 10), 2) AS rate FROM r s JOIN r t ON s.base <> t.base""",
+    ),
     "x07_lot_dates": (x07_lot_dates, None),
     "v03_account_lifecycle": (v03_account_lifecycle, f"WITH {POSTING}, s AS (SELECT account, min(date) + 400 AS o FROM posting GROUP BY account) SELECT account, count(*) AS n FROM posting JOIN s USING (account) WHERE date < o OR date > DATE '2000-01-01' GROUP BY account"),
     "v08_weights": (v08_weights, f"WITH {LOT} SELECT ord AS entry_id, 'USD' AS currency, CAST(units * cost_number AS DOUBLE) AS weight FROM lot"),
@@ -282,11 +292,12 @@ FUNCTIONS: dict[str, tuple[Callable, str | None]] = {
     "v27_balance_tree": (v27_balance_tree, f"WITH {POSTING} {_TREE}"),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _text_query(kind, text) for name, (kind, text, _) in TEXTS.items()} | {name: f for name, (f, _) in FUNCTIONS.items()}
+_WRITTEN = {name: f for name, (f, _) in text_queries.QUERIES.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = _WRITTEN | {name: _text_query(kind, text) for name, (kind, text, _) in TEXTS.items()} | {name: f for name, (f, _) in FUNCTIONS.items()}
 
 
 def _sql(kind: str, rest: str) -> str:
     return f"WITH {_WITH[kind]}{rest if rest.startswith(',') else ' ' + rest}"
 
 
-ORACLE_SQL: dict[str, str] = {name: _sql(kind, sql.strip()) for name, (kind, _, sql) in TEXTS.items() if sql} | {name: sql for name, (_, sql) in FUNCTIONS.items() if sql}
+ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in text_queries.QUERIES.items()} | {name: _sql(kind, sql.strip()) for name, (kind, _, sql) in TEXTS.items() if sql} | {name: sql for name, (_, sql) in FUNCTIONS.items() if sql}
