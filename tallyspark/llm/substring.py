@@ -41,7 +41,7 @@ from tallyspark.llm._store import Scratch
 
 WINDOW, GRAM = 50, 16
 LAST = 2**63 - 1
-SENT_ROWS = 1 << 18
+SENT_ROWS = 1 << 20
 _PLACE = 28
 
 
