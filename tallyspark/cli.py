@@ -1,7 +1,7 @@
 """Command line: check, query, format and lex.
 
-    python -m tallyspark.cli check LEDGER
-    python -m tallyspark.cli query [-f text|csv] [-m] [-o FILE] LEDGER QUERY
+    python -m tallyspark.cli check [--json] LEDGER
+    python -m tallyspark.cli query [-f text|csv] [-m] [-o FILE] LEDGER [QUERY]     (without a query: a shell on standard input)
     python -m tallyspark.cli format FILE
     python -m tallyspark.cli lex FILE
 """
@@ -14,6 +14,7 @@ from pathlib import Path
 
 from tallyspark.language.syntax import Print, QueryError, parse
 from tallyspark.session import session
+from tallyspark.sinks.errors import errors_json, errors_text
 from tallyspark.sinks.formatter import formatted
 from tallyspark.sinks.layout import csv_lines, text_table
 from tallyspark.sinks.printing import printed
@@ -23,31 +24,56 @@ from tallyspark.sources.loader import load
 
 def check(args) -> int:
     ledger = load(session(args.master), args.ledger)
-    rows = ledger.diagnostics.orderBy("filename", "lineno").collect()
-    for r in rows:
-        print(f"{r.filename}:{r.lineno}: {r.severity}: {r.message}")
-    return int(any(r.severity != "note" for r in rows))
+    names = [r.filename for r in ledger.diagnostics.select("filename").distinct().collect()]
+    sources = {n: Path(n).read_text(errors="replace") for n in names if Path(n).is_file()}
+    lines = errors_json(ledger) if args.json else (x + "\n" for x in errors_text(ledger, sources))
+    for line in lines:
+        print(line)
+    return int(not ledger.diagnostics.filter("severity <> 'note'").isEmpty())
 
 
 def query(args) -> int:
     ledger = load(session(args.master), args.ledger)
     out = open(args.output, "w", newline="") if args.output else sys.stdout
     try:
-        if isinstance(parse(args.query), Print):
-            lines = (x + "\n" for x in printed(ledger, args.query))
-        elif args.format == "csv" or args.numberify:
-            lines = csv_lines(ledger.query(args.query), args.numberify)
+        if args.query is not None:
+            answer(ledger, args.query, args, out)
         else:
-            lines = (x + "\n" for x in text_table(ledger.query(args.query)))
-        out.writelines(lines)
-    except QueryError as e:
-        out.write(f"ERROR: {e}\n")
+            shell(ledger, args, sys.stdin, out)
     finally:
         if args.output:
             out.close()
     return 0
 
 
+def answer(ledger, text: str, args, out) -> None:
+    """The lines of one statement, or its error."""
+    try:
+        if isinstance(parse(text), Print):
+            lines = (x + "\n" for x in printed(ledger, text))
+        elif args.format == "csv" or args.numberify:
+            lines = csv_lines(ledger.query(text), args.numberify)
+        else:
+            lines = (x + "\n" for x in text_table(ledger.query(text)))
+        out.writelines(lines)
+    except QueryError as e:
+        out.write(f"ERROR: {e}\n")
+
+
+def shell(ledger, args, lines, out) -> None:
+    """Answers a statement a line until ``exit``, ``quit`` or the end of the input."""
+    prompt = "tallyspark> " if getattr(lines, "isatty", lambda: False)() else ""
+    while True:
+        out.write(prompt)
+        out.flush()
+        line = lines.readline()
+        text = line.strip()
+        if not line or text.rstrip(";").lower() in ("exit", "quit", ".exit", ".quit"):
+            return
+        if text:
+            answer(ledger, text, args, out)
+
+
 def format_file(args) -> int:
     sys.stdout.write(formatted(Path(args.file).read_text(), args.column))
     return 0
@@ -65,6 +91,7 @@ def main(argv: list[str] | None = None) -> int:
     top.add_argument("--master", default="local[*]")
     commands = top.add_subparsers(required=True)
     c = commands.add_parser("check")
+    c.add_argument("--json", action="store_true")
     c.add_argument("ledger")
     c.set_defaults(run=check)
     c = commands.add_parser("query")
@@ -72,7 +99,7 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("-m", "--numberify", action="store_true")
     c.add_argument("-o", "--output")
     c.add_argument("ledger")
-    c.add_argument("query")
+    c.add_argument("query", nargs="?")
     c.set_defaults(run=query)
     c = commands.add_parser("format")
     c.add_argument("--column", type=int)

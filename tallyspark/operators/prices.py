@@ -64,6 +64,11 @@ class PriceBook:
             self._at[date] = paths([(r.source, r.target, r.rate, r.ord) for r in rows])
         return self._at[date]
 
+    def stats(self) -> dict[str, int]:
+        """Numbers of currencies, directed pairs and quotes (each counts once in either direction)."""
+        pair = self.edges.agg(F.countDistinct("source").alias("currencies"), F.countDistinct("source", "target").alias("pairs"), F.count(F.lit(1)).alias("quotes"))
+        return pair.first().asDict()
+
     def pairs(self) -> DataFrame:
         return self.edges.groupBy("source", "target").agg(F.min("ord").alias("ord"))
 

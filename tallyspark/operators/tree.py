@@ -57,3 +57,16 @@ def as_json(nodes: DataFrame) -> DataFrame:
     held = F.map_from_entries(F.filter(F.collect_list(F.struct("currency", F.col("number").cast("string"))), lambda e: e["currency"].isNotNull()))
     one = nodes.groupBy("name", "account", "depth").agg(held.alias("balance"))
     return one.select(F.to_json(F.struct("name", "account", "depth", "balance")).alias("json"))
+
+
+def parents(accounts: DataFrame) -> DataFrame:
+    """account, parent (null at a root) of every account and of all accounts above it."""
+    parts = F.split("account", ":")
+    nodes = accounts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.slice(parts, 1, n))).alias("parts"))
+    nodes = nodes.select(F.array_join("parts", ":").alias("account"), F.when(F.size("parts") > 1, F.array_join(F.slice("parts", 1, F.size("parts") - 1), ":")).alias("parent"))
+    return nodes.distinct()
+
+
+def children(accounts: DataFrame, parent: str) -> DataFrame:
+    """The accounts directly below one."""
+    return parents(accounts).filter(F.col("parent") == parent).select("account")

@@ -1,4 +1,7 @@
-"""Formats ledger text: numbers end and currencies start in one column; all else stays as written."""
+"""Formats ledger text: postings are indented by two spaces, numbers end and currencies start in one column.
+
+The column follows from the widths as written, before the indent is changed. All else stays as written.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyspark.sources.ledger_text import ACCOUNT, CURRENCY
 
 _POSTING = re.compile(rf"^(?P<head>\s+(?:[*!]\s+)?{ACCOUNT})\s+(?P<number>[-+]?(?:\d|\.\d)[\d,.]*)\s+(?P<rest>{CURRENCY}.*)$")
+_BARE = re.compile(rf"^\s+(?P<head>(?:[*!]\s+)?{ACCOUNT})\s*$")
 _DATED = re.compile(rf"^(?P<head>\d{{4}}[-/]\d\d[-/]\d\d\s+(?:balance\s+{ACCOUNT}|price\s+{CURRENCY}))\s+(?P<number>[-+]?(?:\d|\.\d)[\d,.]*)\s+(?P<rest>(?:~\s*[\d.,]+\s+)?{CURRENCY}.*)$")
 
 
@@ -37,8 +41,11 @@ def formatted(text: str, column: int | None = None) -> str:
     for line, m, within in zip(lines, found, inside, strict=True):
         if m:
             head, number = m["head"].rstrip(), m["number"]
+            head = "  " + head.lstrip() if head[0].isspace() else head
             gap = max(2, column - 1 - len(head) - len(number))
             line = f"{head}{' ' * gap}{number} {m['rest'].rstrip()}"
+        elif not within and (bare := _BARE.match(line)):
+            line = "  " + bare["head"]
         out.append(line if within else line.rstrip())
     return "\n".join(out)
 
