@@ -195,6 +195,11 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "c10_location": (_query("orders", "SELECT location"), f"WITH {_O} SELECT 'orders:' || line || ':' AS location FROM p"),
     "c12_entry_id_by_line": (_query("orders", "SELECT DISTINCT id, lineno, filename"), f"WITH {_O} SELECT md5('orders:' || (7 + 5 * i)) AS id, 7 + 5 * i AS lineno, 'orders' AS filename FROM o"),
     "f07_today": (_query("orders", "SELECT DISTINCT today() AS t, date_diff(today(), date) AS d"), f"WITH {_O} SELECT DISTINCT DATE '2024-02-01' AS t, CAST(DATE '2024-02-01' - date AS BIGINT) AS d FROM p"),
+    "f16_close_date": (
+        _query("faults", "SELECT DISTINCT account, open_date(account) AS d, close_date(account) AS e"),
+        """SELECT account, CASE WHEN account <> 'Assets:Nowhere' THEN DATE '1980-01-01' END AS d, CASE WHEN account = 'Assets:Closed' THEN DATE '1985-01-01' END AS e
+        FROM (SELECT DISTINCT CASE o_orderkey % 12 WHEN 2 THEN 'Assets:Nowhere' WHEN 3 THEN 'Assets:Only' WHEN 7 THEN 'Assets:Closed' ELSE 'Assets:Any' END AS account FROM orders UNION SELECT 'Equity:Rest' FROM orders)""",
+    ),
     "v01_diagnostics": (
         _codes("faults"),
         """SELECT 'error' AS severity, code, count(*) AS n FROM (SELECT CASE o_orderkey % 12 WHEN 1 THEN 'unbalanced' WHEN 2 THEN 'not_open' WHEN 3 THEN 'currency' WHEN 4 THEN 'duplicate_metadata' WHEN 5 THEN 'incomplete'
