@@ -15,7 +15,7 @@ from pathlib import Path
 from tallyspark.language.syntax import Print, QueryError, parse
 from tallyspark.session import session
 from tallyspark.sinks.errors import errors_json, errors_text
-from tallyspark.sinks.formatter import formatted
+from tallyspark.sinks.formatter import STYLES, formatted
 from tallyspark.sinks.layout import csv_lines, text_table
 from tallyspark.sinks.printing import printed
 from tallyspark.sources import ledger_text
@@ -75,7 +75,8 @@ def shell(ledger, args, lines, out) -> None:
 
 
 def format_file(args) -> int:
-    sys.stdout.write(formatted(Path(args.file).read_text(), args.column))
+    options = {"comments": not args.no_comments, "blanks": not args.no_blanks, "style": args.strings}
+    sys.stdout.write(formatted(Path(args.file).read_text(), args.column, args.prefix_width, args.num_width, args.indent, **options))
     return 0
 
 
@@ -102,7 +103,11 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("query", nargs="?")
     c.set_defaults(run=query)
     c = commands.add_parser("format")
-    c.add_argument("--column", type=int)
+    for size in ("--column", "--prefix-width", "--num-width", "--indent"):
+        c.add_argument(size, type=int)
+    c.add_argument("--no-comments", action="store_true")
+    c.add_argument("--no-blanks", action="store_true")
+    c.add_argument("--strings", choices=STYLES, default="original")
     c.add_argument("file")
     c.set_defaults(run=format_file)
     c = commands.add_parser("lex")

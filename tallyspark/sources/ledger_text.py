@@ -87,7 +87,7 @@ FLAGS = "*!#&?%PSTCURM"
 KINDS = ("txn", "balance", "open", "close", "commodity", "pad", "note", "document", "price", "event", "query", "custom")
 ACCOUNT = r"[A-Z\u0080-\U0010ffff][A-Za-z0-9\u0080-\U0010ffff-]*(?::[A-Z0-9\u0080-\U0010ffff][A-Za-z0-9\u0080-\U0010ffff-]*)+"
 CURRENCY = r"[A-Z][A-Z0-9'._-]{0,22}[A-Z0-9]"
-_TOKENS = re.compile(
+TOKENS = re.compile(
     rf"""
     (?P<newline>\r\n|\n|\r) | (?P<space>[ \t]+) | (?P<comment>;[^\r\n]*)
   | (?P<date>\d{{4}}[-/]\d{{2}}[-/]\d{{2}}(?![\d])) | (?P<string>"(?:[^"\\]|\\.)*")
@@ -98,7 +98,7 @@ _TOKENS = re.compile(
     """,
     re.X | re.S,
 )
-_ESCAPES = {'"': '"', "\\": "\\", "n": "\n", "t": "\t", "r": "\r"}
+ESCAPES = {'"': '"', "\\": "\\", "n": "\n", "t": "\t", "r": "\r"}
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,7 @@ def _tokens(text: str, filename: str) -> list[list[Token]]:
     """Logical lines of tokens; an indented line starts with a ``space`` token."""
     lines, current, line, start, at = [], [], 1, 0, 0
     while at < len(text):
-        m = _TOKENS.match(text, at)
+        m = TOKENS.match(text, at)
         kind, value = m.lastgroup, m[0]
         token = Token(kind, value, line, len(text[start:at].encode()) + 1)
         at = m.end()
@@ -166,9 +166,9 @@ class _Line:
             return raw[1:-1]
 
         def one(m):
-            if m[1] not in _ESCAPES:
+            if m[1] not in ESCAPES:
                 raise ParseError(f"unknown escape \\{m[1]}", self.filename, t.line, t.column)
-            return _ESCAPES[m[1]]
+            return ESCAPES[m[1]]
 
         return re.sub(r"\\(.)", one, raw[1:-1], flags=re.S)
 

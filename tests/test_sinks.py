@@ -11,7 +11,7 @@ import pytest
 from tallyspark import cli
 from tallyspark.operators import tree
 from tallyspark.sinks import errors, sources
-from tallyspark.sinks.formatter import formatted
+from tallyspark.sinks.formatter import format_files, formatted
 from tallyspark.sources import builders, loader
 
 DAY = dt.date(2021, 3, 4)
@@ -90,11 +90,52 @@ def test_shell_answers_line_by_line(spark):
     assert lines[0].startswith("ERROR: Invalid column name 'bogus'") and lines[1].startswith("ERROR: ") and lines[2] == '2020-02-02 note Assets:None "x"' and lines[3:] == [""]
 
 
-def test_formatter_indents_postings():
+def test_formatter_indents_postings_alike():
     text = '2020-01-01 * "x"\n      Assets:A   1.00 EUR\n Equity:B\n'
-    once = formatted(text)
-    assert once.split("\n")[2] == "  Equity:B" and once.split("\n")[1].startswith("  Assets:A ") and once.split("\n")[1].endswith(" 1.00 EUR")
-    assert formatted(formatted(once)) == formatted(once)
+    assert formatted(text) == '2020-01-01 * "x"\n      Assets:A  1.00 EUR\n      Equity:B\n'  # equally frequent: the widest
+    assert formatted(text, indent=2).split("\n")[2] == "  Equity:B"
+    assert formatted(text + "\n" + text.replace("      ", " ")).split("\n")[1] == " Assets:A       1.00 EUR"
+    assert formatted("") == "" and formatted("; only") == "; only\n"
+
+
+FORMATTED = """2021-02-03 * "Füllung 日本" "x"  #t ; head
+  kind: "a"
+  ! Assets:日本:X                      10 ACME {1.50 USD, 2020-01-01, "l"} @ 3 USD  ref: "R"  ; c
+  Assets:Cash                   -1,550.00 USD
+  Equity:None
+  ; inner
+  Assets:E                        (1 + 2) USD
+
+2021-02-04 balance Assets:Cash   5 ~ 0.01 USD
+2021-02-05 price ACME                 2.5 USD ; p
+2021-02-06 note Assets:Cash "a \\"q\\"\\nb\\tc"
+2021-02-06 open Assets:Z      USD
+"""
+
+
+def test_formatter_aligns_spaces_and_escapes():
+    loose = FORMATTED.replace(" " * 22 + "10 ACME {1.50 USD, 2020-01-01, ", " 10  ACME { 1.50 USD,2020-01-01 , ").replace("} @ 3 USD  ref", "}@ 3  USD ref")
+    loose = loose.replace("Cash" + " " * 19, "Cash  ").replace(" " * 24 + "(", "   (").replace("Cash   5", "Cash 5").replace("ACME" + " " * 17, "ACME ").replace("\\nb\\t", "\nb\t")
+    assert loose != FORMATTED and formatted(loose) == FORMATTED == formatted(FORMATTED) == formatted(loose, style="escaped")
+    literal = formatted(FORMATTED, style="literal")
+    assert '"a \\"q\\"\nb\tc"' in literal and formatted(literal) == FORMATTED
+    bare = formatted(FORMATTED, comments=False, blanks=False)
+    assert ";" not in bare and "\n\n" not in bare and len(bare.splitlines()) == 10
+    with pytest.raises(ValueError):
+        formatted("", style="none")
+
+
+def test_formatter_columns():
+    text = '2021-01-01 * "x"\n  Assets:Bank  1.00 USD\n  Income:Pay  -1.00 USD\n'
+    at = lambda **o: {line.index("USD") + 1 for line in formatted(text, **o).splitlines()[1:]}
+    assert at() == {22} and at(column=60) == {60} and at(prefix_width=40, num_width=12) == {56}
+    assert at(prefix_width=40) == {49} and at(num_width=15) == {32} and at(column=70, prefix_width=40) == {70}
+    assert at(column=3) == {21, 22}  # never less than two spaces
+
+
+def test_format_files(spark):
+    files = spark.createDataFrame([("a", bytearray(FORMATTED.encode())), ("b", bytearray(b"\xff")), ("c", None)], "path string, content binary")
+    assert {r.path: r.text for r in format_files(files).collect()} == {"a": FORMATTED, "b": None, "c": None}
 
 
 def test_graph_and_tree(spark):
