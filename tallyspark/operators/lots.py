@@ -5,31 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+KEYS = ("account", "currency", "cost.currency", "cost.number")
+
+
+def _fold(batches):
+    """ord and date of the undated rows; rows come sorted by key and ord, and only the lots of one key are held."""
+    import pyarrow as pa
+
+    key, lots = None, {}
+    for batch in batches:
+        ords, found = [], []
+        columns = [batch.column(name).to_pylist() for name in ("key", "ord", "date", "number", "cost_date")]
+        for its, ord_, date, n, cost_date in zip(*columns, strict=True):
+            if its != key:
+                key, lots = its, {}
+            if cost_date is None:
+                cost_date = min((d for d, units in lots.items() if units and (units > 0) != (n > 0)), default=date)
+                ords.append(ord_)
+                found.append(cost_date)
+            lots[cost_date] = lots.get(cost_date, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), pa.array(found, pa.date32())], ["ord", "found"])
+
 
 def inherited_dates(rows: DataFrame) -> DataFrame:
     """``rows`` with every cost dated.
 
     Lots are kept per account, currency and unit cost, in ledger order. An undated cost takes the earliest
-    date of a lot of the opposite sign, else its own entry's date. Only keys that have an undated cost
-    are folded, one group of rows a key; ``ord`` must be unique.
+    date of a lot of the opposite sign, else its own entry's date. Only keys that have an undated cost are
+    folded: their rows stream through in order, key after key, so that a task holds the lots of one key however many
+    rows it has, and only undated rows come back. A key's rows depend on each other, so that one key is one
+    task's work. ``ord`` must be unique; rows without a cost or number are left as they are.
     """
-    keys = ["account", "currency", "cost.currency", "cost.number"]
-    held = rows.filter("cost IS NOT NULL AND number IS NOT NULL").select("ord", "date", "number", F.col("cost.date").alias("cost_date"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-
-    undated = held.filter("cost_date IS NULL").select("k0", "k1", "k2", "k3").distinct()
-    held = held.join(undated, ["k0", "k1", "k2", "k3"], "left_semi")
-
-    def fold(group):
-        group = group.sort_values("ord")
-        lots, found = {}, []
-        for date, n, cost_date in zip(group["date"], group["number"], group["cost_date"], strict=True):
-            if cost_date is None or cost_date != cost_date:
-                open_lots = [d for d, units in lots.items() if units and (units > 0) != (n > 0)]
-                cost_date = min(open_lots, default=date)
-            lots[cost_date] = lots.get(cost_date, 0) + n
-            found.append(cost_date)
-        return group.assign(found=found)[["ord", "found"]]
-
-    dated = held.groupBy("k0", "k1", "k2", "k3").applyInPandas(fold, "ord long, found date")
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(KEYS)])
+    held = rows.filter("cost IS NOT NULL AND number IS NOT NULL").select(
+        key.alias("keys"), "ord", "date", "number", F.col("cost.date").alias("cost_date")
+    )
+    # equal to null as well, so that keys without a currency or unit cost are folded like others
+    held = held.select(F.sha2(F.to_json("keys", {"ignoreNullFields": "false"}), 256).alias("key"), "ord", "date", "number", "cost_date")
+    held = held.join(held.filter("cost_date IS NULL").select("key").distinct(), "key", "left_semi")
+    dated = held.repartition("key").sortWithinPartitions("key", "ord").mapInArrow(_fold, "ord long, found date")
     rows = rows.join(dated, "ord", "left")
-    return rows.withColumn("cost", F.when(F.col("cost").isNotNull(), F.col("cost").withField("date", F.coalesce("cost.date", "found")))).drop("found")
+    date = F.coalesce("cost.date", "found")
+    return rows.withColumn("cost", F.when(F.col("cost").isNotNull(), F.col("cost").withField("date", date))).drop("found")

@@ -276,7 +276,18 @@ FUNCTIONS: dict[str, tuple[Callable, str | None]] = {
         f"""WITH {PRICE}, r AS (SELECT base, arg_max(rate, date) AS rate FROM daily WHERE date <= DATE '2024-01-15' GROUP BY base)
         SELECT s.base AS source, t.base AS target, round(CAST(s.rate AS DOUBLE) * round(1 / CAST(t.rate AS DOUBLE), 10), 2) AS rate FROM r s JOIN r t ON s.base <> t.base""",
     ),
-    "x07_lot_dates": (x07_lot_dates, None),
+    "x07_lot_dates": (
+        x07_lot_dates,
+        f"""WITH RECURSIVE {LOT}, r AS (SELECT ord, date, account, currency, CASE WHEN ord % 5 = 0 THEN -units ELSE units END AS n,
+  CASE WHEN ord % 5 <> 0 THEN date END AS cost_date, row_number() OVER (PARTITION BY account, currency ORDER BY ord) AS k FROM lot),
+s AS (SELECT k, ord, account, currency, n, coalesce(cost_date, date) AS found, [{{'d': coalesce(cost_date, date), 'u': n}}] AS lots FROM r WHERE k = 1
+  UNION ALL SELECT k, ord, account, currency, n, found,
+    list_append(list_filter(lots, lambda x: x.d <> found), {{'d': found, 'u': CAST(n + coalesce(list_sum(list_transform(list_filter(lots, lambda x: x.d = found), lambda x: x.u)), 0) AS DECIMAL(18,2))}})
+  FROM (SELECT r.k, r.ord, r.account, r.currency, r.n, s.lots,
+      coalesce(r.cost_date, list_min(list_transform(list_filter(s.lots, lambda x: x.u <> 0 AND (x.u > 0) <> (r.n > 0)), lambda x: x.d)), r.date) AS found
+    FROM s JOIN r ON r.account = s.account AND r.currency = s.currency AND r.k = s.k + 1) AS step)
+SELECT ord, account, currency, CAST(n AS DOUBLE) AS number, found AS cost_date FROM s""",
+    ),
     "v03_account_lifecycle": (v03_account_lifecycle, f"WITH {POSTING}, s AS (SELECT account, min(date) + 400 AS o FROM posting GROUP BY account) SELECT account, count(*) AS n FROM posting JOIN s USING (account) WHERE date < o OR date > DATE '2000-01-01' GROUP BY account"),
     "v08_weights": (v08_weights, f"WITH {LOT} SELECT ord AS entry_id, 'USD' AS currency, CAST(units * cost_number AS DOUBLE) AS weight FROM lot"),
     "v11_tolerance": (v11_tolerance, f"WITH {POSTING} SELECT DISTINCT entry_id, currency, CAST(0.005 AS DOUBLE) AS tolerance FROM posting"),
