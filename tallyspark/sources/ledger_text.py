@@ -98,6 +98,7 @@ TOKENS = re.compile(
     """,
     re.X | re.S,
 )
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 ESCAPES = {'"': '"', "\\": "\\", "n": "\n", "t": "\t", "r": "\r"}
 
 
@@ -347,9 +348,8 @@ def _posting(line: _Line) -> Posting:
 
 
 def parse(text: str, filename: str = "<text>") -> File:
-    for i, c in enumerate(text):
-        if c < " " and c not in "\t\r\n":
-            raise ParseError(f"control character {c!r}", filename, text.count("\n", 0, i) + 1)
+    if wrong := _CONTROL.search(text):
+        raise ParseError(f"control character {wrong[0]!r}", filename, text.count("\n", 0, wrong.start()) + 1)
     out, tags, metas, owner = File(filename), [], [], None
     for tokens in _tokens(text, filename):
         line, first = _Line(tokens, filename), tokens[0]

@@ -1,16 +1,19 @@
 """Ledger files to a Ledger: includes, checks and booking, as tables.
 
-The driver only walks the names of included files; their contents stay on the executors. A ledger's
-directives are checked and booked in order, which is one task per ledger; any number of ledgers
-(``load_many``) run side by side. The result is written once, as one table of rows by part.
+The driver only walks the names of included files; their contents stay on the executors. Every file is parsed where it
+is read, on its own: the tags and metadata it pushes hold for it alone. Parsed files then meet by ledger: its
+directives are checked and booked in order, which is one task per ledger; any number of ledgers (``load_many``) run
+side by side. The result is written once, as one table of rows by part. A file that is null counts as empty.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import pickle
 import re
 import uuid
 from collections.abc import Iterable
+from dataclasses import dataclass
 from decimal import Decimal
 from pathlib import PurePosixPath
 
@@ -53,24 +56,41 @@ def _meta(items: list) -> list[dict]:
     return [{"key": k, "value": _object(v)} for k, v in items]
 
 
-def rows_of(ledger: str, files: list[tuple[str, str | bytes]], existing: set[str] | None = None, extra: Iterable[T.Directive] = ()) -> list[dict]:
+@dataclass
+class Unread:
+    """A file that could not be parsed."""
+
+    filename: str
+    message: str
+    line: int
+
+
+def read_file(name: str, content: str | bytes | None) -> T.File | Unread:
+    try:
+        return T.parse(content if isinstance(content, str) else bytes(content or b"").decode(), name)
+    except UnicodeDecodeError as e:
+        return Unread(name, f"the file is not UTF-8: {e.reason} at byte {e.start}", bytes(content).count(b"\n", 0, e.start) + 1)
+    except T.ParseError as e:
+        return Unread(e.filename, e.message, e.line)
+
+
+def rows_of(
+    ledger: str, files: list[T.File | Unread], existing: set[str] | None = None, extra: Iterable[T.Directive] = ()
+) -> list[dict]:
     """All rows of one ledger; the first file is its root."""
     out: list[dict] = []
 
     def diagnostic(severity, code, message, filename="", line=0, date=None, account=None):
-        out.append({"part": "diagnostic", "severity": severity, "code": code, "message": message, "filename": filename, "lineno": line, "date": date, "account": account})
-
-    parsed = []
-    for name, text in files:
-        try:
-            parsed.append(T.parse(text.decode() if isinstance(text, bytes) else text, name))
-        except UnicodeDecodeError as e:
-            diagnostic("error", "syntax", f"the file is not UTF-8: {e.reason} at byte {e.start}", name, text.count(b"\n", 0, e.start) + 1)
-        except T.ParseError as e:
-            diagnostic("error", "syntax", e.message, e.filename, e.line)
+        found = {"severity": severity, "code": code, "message": message, "filename": filename, "lineno": line}
+        out.append({"part": "diagnostic", **found, "date": date, "account": account})
+
+    for f in files:
+        if isinstance(f, Unread):
+            diagnostic("error", "syntax", f.message, f.filename, f.line)
+    parsed = [f for f in files if isinstance(f, T.File)]
     config, wrong = config_of(parsed[0].options if parsed else [])
     for line, message in wrong:
-        diagnostic("error", "option", message, files[0][0], line)
+        diagnostic("error", "option", message, parsed[0].filename, line)
     for f in parsed[1:]:
         for name, _, line in f.options:
             if name not in ("title", "operating_currency"):
@@ -106,20 +126,38 @@ def rows_of(ledger: str, files: list[tuple[str, str | bytes]], existing: set[str
     return [{"ledger": ledger, **r} for r in out]
 
 
+def _parse(batches):
+    import pandas as pd
+
+    for rows in batches:
+        for ledger, nth, path, content in zip(rows["ledger"], rows["nth"], rows["path"], rows["content"], strict=True):
+            yield pd.DataFrame({"ledger": [ledger], "nth": [nth], "parsed": [pickle.dumps(read_file(path, content))]})
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """ledger, nth (0: the root), path, content to ledger, nth, parsed: each file where it is read, without a shuffle."""
+    return files.mapInPandas(_parse, "ledger string, nth int, parsed binary")
+
+
 def _book(existing: dict[str, set[str]] | None, extra: list[T.Directive]):
     def run(key, rows):
         import pandas as pd
 
-        rows = rows.sort_values("nth")
-        made = rows_of(key[0], list(zip(rows["path"], [bytes(b) for b in rows["content"]], strict=True)), (existing or {}).get(key[0]), extra)
+        files = [pickle.loads(p) for p in rows.sort_values("nth")["parsed"]]
+        made = rows_of(key[0], files, (existing or {}).get(key[0]), extra)
         return pd.DataFrame([[r.get(c) for c in FORM] for r in made], columns=list(FORM), dtype=object)
 
     return run
 
 
+def booked(parsed: DataFrame, existing: dict[str, set[str]] | None = None, extra: list[T.Directive] | None = None) -> DataFrame:
+    """What ``parse_files`` gives: all rows of all ledgers by part."""
+    return parsed.groupBy("ledger").applyInPandas(_book(existing, extra or []), _SCHEMA)
+
+
 def tables(files: DataFrame, existing: dict[str, set[str]] | None = None, extra: list[T.Directive] | None = None) -> DataFrame:
     """files: ledger, nth (0: the root), path, content. All rows of all ledgers by part."""
-    return files.groupBy("ledger").applyInPandas(_book(existing, extra or []), _SCHEMA)
+    return booked(parse_files(files), existing, extra)
 
 
 def _includes(batches):
@@ -128,11 +166,8 @@ def _includes(batches):
     for rows in batches:
         found = []
         for path, content in zip(rows["path"], rows["content"], strict=True):
-            try:
-                names = [n for n, _ in T.parse(bytes(content).decode(), path).includes]
-            except (T.ParseError, UnicodeDecodeError):
-                names = []
-            found += [(path, n) for n in names]
+            f = read_file(path, content)
+            found += [(path, n) for n, _ in f.includes] if isinstance(f, T.File) else []
         yield pd.DataFrame(found, columns=["path", "include"])
 
 
@@ -213,17 +248,16 @@ def load(spark: SparkSession, path: str, keep: str | None = None, check_document
     files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
     nth = F.create_map(*[x for p, i in order.items() for x in (F.lit(p), F.lit(i))])
     files = files.select(F.lit(path).alias("ledger"), F.coalesce(F.try_element_at(nth, F.col("path")), F.lit(0)).alias("nth"), "path", "content", F.lit(uuid.uuid4().hex).alias("version"))  # else what an earlier load has cached would be taken
-    first = tables(files).persist()  # booked once, unless documents must be looked up
+    parsed = parse_files(files).persist()
+    first = booked(parsed).persist()  # booked once, unless documents must be looked up
     existing, extra, missing = None, [], []
     if check_documents:
         if not first.filter("part = 'entry' AND type = 'document'").isEmpty():
             existing = {path: set(map(_plain, listed(spark, str(PurePosixPath(_plain(path)).parent))))}
         root = files.filter("nth = 0").select("content").first()
-        try:
-            config, _ = config_of(T.parse(bytes(root.content).decode(), path).options)
-        except (T.ParseError, UnicodeDecodeError):
-            config = None
-        if config and config.documents:
+        root = read_file(path, root.content)
+        config, _ = config_of(root.options if isinstance(root, T.File) else [])
+        if config.documents:
             accounts = {r.account for r in first.filter("part = 'account'").select("account").collect()}
             for folder in config.documents:
                 try:
@@ -231,7 +265,7 @@ def load(spark: SparkSession, path: str, keep: str | None = None, check_document
                 except AnalysisException:
                     missing.append(folder)
     again = existing is not None or extra
-    out = as_ledger(_kept(spark, tables(files, existing, extra) if again else first, keep))
+    out = as_ledger(_kept(spark, booked(parsed, existing, extra) if again else first, keep))
     if missing:
         found = [("error", "document", f"the folder {m} does not exist", path, 0) for m in missing]
         found = spark.createDataFrame(found, "severity string, code string, message string, filename string, lineno long")

@@ -198,6 +198,24 @@ def test_includes_documents_and_cycles(spark, tmp_path):
     assert found.postings.count() == 2 and [r.message for r in found.diagnostics.collect()] == ["missing.txt does not exist"]
 
 
+def test_files_are_parsed_where_they_are_read(spark, tmp_path):
+    names = [f"part{i:02d}.ledger" for i in range(30)]
+    (tmp_path / "main.ledger").write_text("".join(f'include "{n}"\n' for n in names) + "2020-01-01 open Assets:A\n2020-01-01 open Equity:B\n")
+    for i, n in enumerate(names):
+        push = "pushtag #pushed\n" if i == 3 else ""
+        (tmp_path / n).write_text(f'{push}2020-02-{i % 28 + 1:02d} * "n{i}"\n  Assets:A  {i + 1}.00 EUR\n  Equity:B\n')
+    (tmp_path / names[7]).write_bytes(b"2020-01-01 open Assets:A\n; \xff\n")
+    (tmp_path / names[8]).write_text('2020-02-01 * "no end\n')
+    found = loader.load(spark, str(tmp_path / "main.ledger"))
+    assert found.postings.count() == 2 * 28
+    assert {r.narration for r in found.entries.filter("array_contains(tags, 'pushed')").collect()} == {"n3"}
+    wrong = {(r.filename.rsplit("/")[-1], r.lineno, r.code) for r in found.diagnostics.collect()}
+    assert wrong == {(names[7], 2, "syntax"), (names[8], 1, "syntax")}
+    files = spark.createDataFrame([("l", 0, "a", bytearray(b"")), ("l", 1, "b", None)], "ledger string, nth int, path string, content binary")
+    assert "Exchange" not in loader.parse_files(files)._jdf.queryExecution().executedPlan().toString()
+    assert [r.part for r in loader.tables(files).collect()] == ["config"] and loader.tables(files.limit(0)).count() == 0
+
+
 def test_watch_reloads(spark, tmp_path):
     import time
 
