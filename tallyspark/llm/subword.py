@@ -194,7 +194,7 @@ def _bags(shape: Shape):
 def _bag(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     data = zlib.decompress(data)
     n = len(data) // 6
-    return np.cumsum(np.frombuffer(data, "<u4", n), dtype=np.uint32), np.frombuffer(data, "<u2", n, 4 * n)
+    return np.cumsum(np.frombuffer(data, "<u4", n), dtype=np.uint32), np.frombuffer(data, "<u2", n, 4 * n).copy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, shape: Shape, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
@@ -211,9 +211,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, shape
     sizes = sizes.filter((F.col("nth") <= sample) & (F.col("sum") <= SAMPLE_CHARS)).select("doc_id", "mark").distinct()
     texts = texts.withColumn("mark", F.xxhash64("text")).join(F.broadcast(sizes), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
     rows = texts.select("label", "text").mapInArrow(trimmed(_bags(shape)), "label int, bag binary").collect()
-    rows.sort(key=lambda r: (r.label, bytes(r.bag)))  # the same order whatever the partitions
-    bags, marks = [_bag(bytes(r.bag)) for r in rows], [r.label for r in rows]
-    del rows
+    rows.sort(key=lambda r: (r.label, r.bag), reverse=True)  # the same order whatever the partitions
+    bags, marks = [], []
+    while rows:  # each row goes as its bag comes
+        row = rows.pop()
+        bags.append(_bag(row.bag))
+        marks.append(row.label)
+    trim()
     model = train(bags, marks, shape, totals)
     del bags
     trim()
