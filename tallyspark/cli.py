@@ -81,7 +81,7 @@ def format_file(args) -> int:
 
 
 def lex(args) -> int:
-    for line in ledger_text._tokens(Path(args.file).read_text(), args.file):
+    for line in ledger_text._tokens(Path(args.file).read_text()):
         for t in line:
             print(f"{t.line}:{t.column}\t{t.kind}\t{t.text!r}")
     return 0

@@ -65,15 +65,39 @@ class Unread:
     line: int
 
 
-def read_file(name: str, content: str | bytes | None) -> T.File | Unread:
+def read_file(name: str, content: str | bytes | None, *start) -> T.File | Unread:
+    """``start``: as of ``ledger_text.parse``, of a text that is a part of its file."""
     try:
-        return T.parse(content if isinstance(content, str) else bytes(content or b"").decode(), name)
+        return T.parse(content if isinstance(content, str) else bytes(content or b"").decode(), name, *start)
     except UnicodeDecodeError as e:
         return Unread(name, f"the file is not UTF-8: {e.reason} at byte {e.start}", bytes(content).count(b"\n", 0, e.start) + 1)
     except T.ParseError as e:
         return Unread(e.filename, e.message, e.line)
 
 
+def rows_of_directive(d: T.Directive, is_valid: bool) -> tuple[dict, dict, list[dict]]:
+    """Columns of an entry but for its number, those that are not its postings' too, and what each posting adds."""
+    is_txn = d.kind == "transaction"
+    entry = {
+        "date": d.date, "type": d.kind, "flag": d.flag if is_txn else None, "payee": d.payee if is_txn else None, "narration": d.narration if is_txn else None,
+        "tags": sorted(set(d.tags)) if is_txn else None, "links": sorted(set(d.links)) if is_txn else None, "filename": d.filename, "lineno": d.line, "entry_meta": _meta(d.meta),
+        "accounts": sorted({p.account for p in d.postings}), "is_valid": is_valid,
+    }
+    postings = []
+    for p in d.postings:
+        units = p.units or T.Amount(None, None)
+        cost = None
+        if p.cost is not None and p.cost.number is not None:
+            cost = {"number": _number(p.cost.number), "scale": digits(p.cost.number), "currency": p.cost.currency, "date": p.cost.date, "label": p.cost.label}
+        price = None
+        if p.price is not None and p.price.number is not None:
+            price = {"number": _number(p.price.number), "scale": digits(p.price.number), "currency": p.price.currency}
+        postings.append({"account": p.account, "posting_flag": p.flag, "posting_line": p.line, "number": _number(units.number), "scale": digits(units.number) if units.number is not None else None, "currency": units.currency, "cost": cost, "price": price, "posting_meta": _meta(p.meta)})
+    v = d.values
+    more = {"account": v.get("account"), "text": directive_text(d), "currency": v.get("currency"), "number": _number(v.get("number")), "detail": v.get("source") or v.get("comment") or v.get("path") or v.get("value")}
+    return entry, more, postings
+
+
 def rows_of(
     ledger: str, files: list[T.File | Unread], existing: set[str] | None = None, extra: Iterable[T.Directive] = ()
 ) -> list[dict]:
@@ -101,23 +125,11 @@ def rows_of(
         diagnostic(x.severity, x.code, x.message, x.filename, x.line, x.date, x.account)
     ord_ = 0
     for i, d in enumerate(directives):
-        is_txn = d.kind == "transaction"
-        entry = {
-            "entry_id": i, "date": d.date, "type": d.kind, "flag": d.flag if is_txn else None, "payee": d.payee if is_txn else None, "narration": d.narration if is_txn else None,
-            "tags": sorted(set(d.tags)) if is_txn else None, "links": sorted(set(d.links)) if is_txn else None, "filename": d.filename, "lineno": d.line, "entry_meta": _meta(d.meta),
-            "accounts": sorted({p.account for p in d.postings}), "is_valid": id(d) not in process.invalid,
-        }
-        out.append({"part": "entry", "ord": i, **entry, "account": d.values.get("account"), "text": directive_text(d), "currency": d.values.get("currency"), "number": _number(d.values.get("number")), "detail": d.values.get("source") or d.values.get("comment") or d.values.get("path") or d.values.get("value")})
-        for p in d.postings:
+        entry, more, postings = rows_of_directive(d, id(d) not in process.invalid)
+        out.append({"part": "entry", "ord": i, "entry_id": i, **entry, **more})
+        for p in postings:
             ord_ += 1
-            units = p.units or T.Amount(None, None)
-            cost = None
-            if p.cost is not None and p.cost.number is not None:
-                cost = {"number": _number(p.cost.number), "scale": digits(p.cost.number), "currency": p.cost.currency, "date": p.cost.date, "label": p.cost.label}
-            price = None
-            if p.price is not None and p.price.number is not None:
-                price = {"number": _number(p.price.number), "scale": digits(p.price.number), "currency": p.price.currency}
-            out.append({"part": "posting", "ord": ord_, **entry, "account": p.account, "posting_flag": p.flag, "posting_line": p.line, "number": _number(units.number), "scale": digits(units.number) if units.number is not None else None, "currency": units.currency, "cost": cost, "price": price, "posting_meta": _meta(p.meta)})
+            out.append({"part": "posting", "ord": ord_, "entry_id": i, **entry, **p})
     for i, (date, base, quote, rate) in enumerate(process.prices):
         out.append({"part": "price", "ord": i, "date": date, "base": base, "quote": quote, "rate": _number(rate)})
     for name, a in process.accounts.items():

@@ -1,8 +1,7 @@
 """Queries over ledger text that is written from the order tables, then parsed, checked and booked like any other.
 
 Each ledger's text is made by one SQL query that gives a block of lines per row of a table, and is loaded once a session.
-The lines are collected to write one file, as a user's own ledger would be; they are the input of these
-queries, not a step of the engine.
+The blocks are one text in their order, which stays a table of pieces on the executors.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyspark.ledger import Ledger
 from tallyspark.sinks.layout import csv_lines, text_table
 from tallyspark.sinks.printing import printed
-from tallyspark.sources.loader import load_text
+from tallyspark.sources.pieces import load_pieces
 
 TODAY = dt.date(2024, 2, 1)
 _LOADED: dict[tuple[str, str, str], Ledger] = {}
@@ -63,18 +62,20 @@ UNION ALL SELECT 1000000000000 + user_id, concat('2100-01-01 * "sell"\n  Assets:
 _BLOCKS = {"orders": _ORDER, "faults": _FAULT, "kinds": _KIND, "pads": _PAD, "lots": _LOT}
 
 
-def text_of(spark: SparkSession, sf_dir: str, name: str) -> str:
+def pieces_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The text as a table: section (before the blocks, blocks, after them), place, text."""
     for table in ("orders", "nation", "events"):
         if f"FROM {table}" in _BLOCKS[name]:
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    rows = spark.sql(_BLOCKS[name]).orderBy("place", "block").toLocalIterator()
-    return "\n".join([*_HEAD[name], *[r.block for r in rows], "poptag #all" if name == "orders" else ""]) + "\n"
+    blocks = spark.sql(_BLOCKS[name]).select(F.lit(1).alias("section"), F.col("place").cast("bigint").alias("place"), F.col("block").alias("text"))
+    ends = [(0, i, line) for i, line in enumerate(_HEAD[name])] + [(2, 0, "poptag #all" if name == "orders" else "")]
+    return blocks.unionByName(spark.createDataFrame(ends, "section int, place bigint, text string"))
 
 
 def ledger(spark: SparkSession, sf_dir: str, name: str) -> Ledger:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _LOADED:
-        _LOADED[key] = load_text(spark, text_of(spark, sf_dir, name), name)
+        _LOADED[key] = load_pieces(spark, pieces_of(spark, sf_dir, name), ["section", "place", "text"], name)
     return _LOADED[key]
 
 
