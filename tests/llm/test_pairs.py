@@ -228,6 +228,16 @@ def test_jaccard_indexes_combinations_of_frequent_tokens(spark):
     assert index.filter("key IS NOT NULL AND combined").count() > index.filter("key IS NOT NULL AND NOT combined").count()
 
 
+def test_jaccard_joins_open_nodes_once(spark):
+    """A node under many keys that are still open meets its bits once, not once a key."""
+    rows = near_copies(40, 4)
+    join = jaccard.Join(frame(spark, rows).select("doc_id", "text"), least=8, counters=1 << 16, rounds=0)
+    join.keep_tables = True
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in join.classes().collect()} == brute_links(rows)
+    found = spark.read.parquet(f"{join.store.path}/open")
+    assert found.count() == found.select("node").distinct().count() > 1
+
+
 def test_jaccard_long_text_and_common_passage(spark):
     rng = np.random.default_rng(4)
     passage = " ".join(f"p{i}" for i in range(80))
