@@ -21,19 +21,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tallyspark.ledger import Ledger
-from tallyspark.operators.booking import Holdings
+from tallyspark.operators.booking import Holdings, LotCost
 from tallyspark.operators.processing import PRIORITY, Diagnostic
 from tallyspark.operators.processing import Ledger as Process
 from tallyspark.plans.rows import ENTRY, POSTING
 from tallyspark.sources import ledger_text as T
 from tallyspark.sources.config import config_of
+from tallyspark.sources.plain import Columns, Plain, gain, gained
 from tallyspark.sources.loader import FORM, Unread, _number, as_ledger, read_file, rows_of, rows_of_directive
 
 STATE = ("open", "close", "commodity")
+_MET_WORDS = (*STATE, "balance", "pad", "option", "include", "plugin")
 _MET = re.compile(r"(?:^|[\r\n])\d{4}[-/]\d{2}[-/]\d{2}[ \t]+(?:open|close|commodity|balance|pad)\b|(?:^|[\r\n])(?:option|include|plugin)\b")
 _PUSHED = re.compile(r"(?:^|[\r\n])(?:push|pop)(?:tag|meta)\b")
 _CHUNK = 1 << 19  # characters parsed at once
-_ROWS = 10_000  # a batch
+_ROWS, _LEAST = 10_000, 4000  # rows of a batch, at most, and of one of plain transactions, at least
 _PLACES = 24  # bits of a posting's place in its entry
 _OWN = {c: t for c, t in POSTING.items() if c not in ENTRY and c != "ord"}
 _MORE = {"pid": "int", "priority": "int", "rank": "bigint", "payload": "binary", "postings": f"array<struct<{','.join(f'{c}:{t}' for c, t in _OWN.items())}>>"}
@@ -43,8 +45,9 @@ _SCHEMA = ", ".join(f"`{c}` {t}" for c, t in (FORM | _MORE).items() if c not in
 
 def _chunk(pid: int, nth: int, texts: list[str]) -> dict:
     text = "\n".join(texts) + "\n"
-    pushes = T.pushes(text) if _PUSHED.search(text) else []
-    return {"pid": pid, "nth": nth, "text": text, "lines": T.line_breaks(text), "pushes": pickle.dumps(pushes) if pushes else None, "met": bool(_MET.search(text))}
+    pushes = T.pushes(text) if ("push" in text or "pop" in text) and _PUSHED.search(text) else []  # words first: most texts hold none
+    met = any(word in text for word in _MET_WORDS) and bool(_MET.search(text))
+    return {"pid": pid, "nth": nth, "text": text, "lines": T.line_breaks(text), "pushes": pickle.dumps(pushes) if pushes else None, "met": met}
 
 
 _CHUNK_FORM = "pid int, nth int, text string, lines bigint, pushes binary, met boolean"
@@ -92,11 +95,11 @@ def _starts(heads: list) -> dict[tuple[int, int], tuple]:
     return out
 
 
-def _parsed(name: str, starts, batches):
+def _parsed(name: str, starts, batches, plain: Plain | None = None):
     """(pid, nth, File or Unread) of each chunk."""
     for batch in batches:
         for pid, nth, text in zip(*[batch.column(c).to_pylist() for c in ("pid", "nth", "text")], strict=True):
-            yield pid, nth, read_file(name, text, *starts.value[pid, nth])
+            yield pid, nth, read_file(name, text, *starts.value[pid, nth], plain)
 
 
 _MET_FORM = "pid int, nth int, file binary"
@@ -144,6 +147,23 @@ def reducing(accounts: dict, d: T.Directive) -> list[str]:
     return []
 
 
+def needed(d: T.Directive, accounts: dict) -> list[str] | None:
+    """Of a transaction that reduces lots: the lots ("account currency") without which it fails; None, if that can't be told."""
+    at_cost = [p for p in d.postings if p.cost is not None and p.account in accounts and accounts[p.account].booking != "NONE"]
+    if any(p.units is None or p.units.number is None or p.units.currency is None for p in at_cost):
+        return None
+    return [f"{p.account} {p.units.currency}" for p in at_cost if p.units.number < 0]
+
+
+def held_by(d: T.Directive) -> list[str]:
+    """The lots ("account currency", "account" if the currency is not stated) that a transaction may add to."""
+    out = set()
+    for p in d.postings:
+        if p.cost is not None and not (p.units and p.units.number is not None and p.units.number < 0):
+            out.add(f"{p.account} {p.units.currency}" if p.units and p.units.currency else p.account)
+    return sorted(out)
+
+
 class _Rows:
     """Rows on their way out, a column at a time."""
 
@@ -187,18 +207,25 @@ def _each(name: str, starts, known):
         config, files, accounts, invalid = known.value
         process, out, counts, last = Process(config, files), _Rows(schema), Counter(), None
         process.accounts = accounts = {n: type(a)(a.opened, a.closed, a.currencies, a.booking, _Apart()) for n, a in accounts.items()}
-        for pid, _, f in _parsed(name, starts, batches):
+        plain, quick = Plain(config, accounts, name), Columns(schema, name)
+        for pid, _, f in _parsed(name, starts, batches, plain):
             last = pid
             if isinstance(f, Unread):
                 out.rows.append({"part": "error", "message": f.message, "lineno": f.line})
                 continue
             for d in f.directives:
+                if type(d) is tuple:
+                    date = d[0][0]
+                    rank = counts[date, 0]
+                    counts[date, 0] += 1
+                    quick.add(d, (pid, 0, rank))
+                    continue
                 priority = PRIORITY.get(d.kind, 0)
                 rank = counts[d.date, priority]
                 counts[d.date, priority] += 1
                 key = {"pid": pid, "priority": priority, "rank": rank}
                 if d.kind == "transaction" and (touched := reducing(accounts, d)):
-                    out.rows.append({**key, "part": "reducing", "date": d.date, "lineno": d.line, "accounts": touched, "payload": pickle.dumps(d)})
+                    out.rows.append({**key, "part": "reducing", "date": d.date, "lineno": d.line, "accounts": touched, "payload": pickle.dumps(d), "tags": needed(d, accounts), "links": held_by(d)})
                     continue
                 valid = d.line not in invalid if d.kind in STATE else process.take(d)
                 out.found(process, key)
@@ -207,9 +234,12 @@ def _each(name: str, starts, known):
                     for account in {p.account for p in d.postings if p.cost is not None}:
                         a = accounts[account]
                         if a.booking != "NONE" and a.holdings.gained:
-                            out.rows.append({"part": "gained", "date": d.date, "lineno": d.line, "account": account, "payload": pickle.dumps(a.holdings.gained)})
+                            gains = [gain(currency, units, c.number, c.currency, c.date, c.label) for currency, units, c in a.holdings.gained]
+                            out.rows.append({"part": "gained", "date": d.date, "lineno": d.line, "account": account, "payload": pickle.dumps(gains), "links": sorted({f"{account} {g[0]}" for g in gains})})
                 if len(out.rows) >= _ROWS:
                     yield from out.batches(_ROWS)
+            yield from quick.batches(_LEAST)
+        yield from quick.batches()
         for (date, priority), n in counts.items():
             out.rows.append({"part": "count", "date": date, "priority": priority, "pid": last, "rank": n})
         yield from out.batches()
@@ -233,8 +263,8 @@ def _in_order(known):
                     group, touched = r["grp"], set()
                 if r["part"] == "gained":
                     touched.add(r["account"])
-                    for gain in pickle.loads(r["payload"]):
-                        process.accounts[r["account"]].holdings.add(*gain)
+                    for currency, units, *cost in gained(r["payload"]):
+                        process.accounts[r["account"]].holdings.add(currency, units, LotCost(*cost))
                     continue
                 d, key = pickle.loads(r["payload"]), {"pid": r["pid"], "priority": r["priority"], "rank": r["rank"]}
                 touched.update(p.account for p in d.postings if p.account in process.accounts)
@@ -264,11 +294,27 @@ def _groups(links: list[list[str]]) -> list[tuple[str, str]]:
     return [(x, root(x)) for x in list(parent)]
 
 
+def _in_vain(spark: SparkSession, reducers: DataFrame, gained: DataFrame) -> DataFrame:
+    """The reducers with a column ``vain``: whether nothing in the ledger adds to any of the lots that one reduces.
+
+    It then fails and changes nothing, and needs not be booked in order with others of its account."""
+    wanted = reducers.select("lineno", F.explode("tags").alias("lots"))
+    added = reducers.select("links").unionByName(gained.select("links")).select(F.explode("links").alias("lots")).distinct()
+    whole = F.substring_index("lots", " ", 1)  # what adds to an account in a currency not stated may add to any of its lots
+    lots = wanted.select("lots").distinct().join(added, "lots", "left_anti")
+    lacking = lots.join(added.withColumnRenamed("lots", "account"), whole == F.col("account"), "left_anti").withColumn("lacking", F.lit(True))
+    lines = wanted.join(lacking, "lots", "left").groupBy("lineno").agg(F.bool_and(F.coalesce("lacking", F.lit(False))).alias("vain"))
+    lines = lines.filter("vain").persist()
+    return reducers.join(lines, "lineno", "left").withColumn("vain", F.coalesce("vain", F.lit(False)))
+
+
 def _reduced(spark: SparkSession, rows: DataFrame, known) -> DataFrame:
-    reducers = rows.filter("part = 'reducing'")
+    every = _in_vain(spark, rows.filter("part = 'reducing'"), rows.filter("part = 'gained'"))
+    columns = ["part", "date", "lineno", "account", "pid", "priority", "rank", "payload"]
+    alone = every.filter("vain").withColumn("account", F.lit(None).cast("string")).select(columns)
+    reducers = every.filter("NOT vain")
     touched = reducers.select(F.explode("accounts").alias("account")).distinct()
     gained = rows.filter("part = 'gained'").join(touched, "account", "left_semi")
-    columns = ["part", "date", "lineno", "account", "pid", "priority", "rank", "payload"]
     moves = reducers.withColumn("account", F.col("accounts")[0]).select(columns).unionByName(gained.select(columns))
     links = [r.accounts for r in reducers.filter("size(accounts) > 1").select("accounts").distinct().collect()]
     if links:
@@ -277,13 +323,14 @@ def _reduced(spark: SparkSession, rows: DataFrame, known) -> DataFrame:
     else:
         moves = moves.withColumn("grp", F.col("account"))
     parts = 4 * spark.sparkContext.defaultParallelism
-    moves = moves.repartition(parts, "grp").sortWithinPartitions("grp", "date", "lineno")
+    alone = alone.withColumn("grp", F.concat(F.lit("\n"), F.pmod("lineno", F.lit(parts)).cast("string")))  # no account has such a name
+    moves = moves.unionByName(alone).repartition(parts, "grp").sortWithinPartitions("grp", "date", "lineno")
     return moves.mapInArrow(_in_order(known), _SCHEMA)
 
 
 def _numbered(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Entries in ledger order: days, kinds of a day, tasks, places in a task."""
-    counts = counts.filter("part = 'count'").select("date", "priority", "pid", F.col("rank").alias("n"))
+    counts = counts.filter("part = 'count'").select("date", "priority", "pid", F.col("rank").alias("n")).coalesce(1).persist()  # a row a day and task, read by every query
     by_day = counts.groupBy("date", "priority").agg(F.sum("n").alias("n"))
     days = Window.orderBy("date", "priority").rowsBetween(Window.unboundedPreceding, -1)
     tasks = Window.partitionBy("date", "priority").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,8 +1,11 @@
 """A ledger in pieces gives what the same text in one file gives."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.operators.processing import Account
 from tallyspark.sources import ledger_text as T
 from tallyspark.sources import loader, pieces
 
@@ -87,3 +90,55 @@ def test_common_lines_as_by_tokens(monkeypatch, line, under):
     for name in ("_PLAIN_HEAD", "_PLAIN_POSTING", "_PLAIN_META", "_BLANK"):
         monkeypatch.setattr(T, name, never)
     assert T.parse(text, "f", 7, ["pushed"], [("by", ("none", None))]) == quick
+
+
+PLAIN = (
+    '2020-03-01 * "a \\"b\\"" "c\\\\d" #t #all ^l\n  key: 7\n  name: "x"\n  Assets:Cash  (12.50 + 3 - 5 * 2.10) USD\n  ! Equity:Rest\n\n',
+    '2020-03-02 ! "n"\n  Assets:Stock  3 AB {1.50 USD}\n  Equity:Rest',
+    '2020-03-03 P "n"\n  Assets:Other  2 AB {0.25 USD, 2019-05-06} @ 7.5 EUR\n  Equity:Rest\n\n',
+    '2020-03-04 *\n  Assets:Cash  1 EUR @ 9.10 USD\n  Equity:Rest  -9.10 USD',
+    '2020-03-05 * "zero is left"\n  Assets:Cash  1.00 EUR\n  Equity:Rest  -1 EUR\n  Equity:Rest',
+    '2020-03-06 * "wide"\n  Assets:Cash  (-(2)) USD\n  Assets:Cash  (2.50) USD\n  Assets:None  1 AB {3 USD}\n  Equity:Rest',
+)
+OTHER = (
+    '2020-04-01 * "other currency"\n  Assets:Cash  1 GBP\n  Equity:Rest',
+    '2020-04-02 * "not open"\n  Assets:Nowhere  1 USD\n  Equity:Rest',
+    '2020-04-03 * "within"\n  Assets:Cash  1.00 USD\n  Equity:Rest  -1.001 USD',
+    '2020-04-04 * "two open"\n  Assets:Cash  1 USD\n  Assets:Cash  1 EUR\n  Equity:Rest',
+    '2020-04-05 * "twice"\n  kk: 1\n  kk: 1\n  Assets:Cash  1 USD\n  Equity:Rest',
+    '2020-04-06 * "below"\n  Assets:Cash  1 USD\n    kk: "of the posting"\n  Equity:Rest',
+    '2020-04-07 * "later"\n  Assets:Cash  1 USD\n\n  Equity:Rest\n\n   ; said\n  Equity:Rest  0 USD',
+    '2020-04-08 * "nothing"\n  Assets:Cash  (1 - 1) USD\n  Equity:Rest  -0.00 USD',
+    '2020-04-09 * "long"\n  Assets:Cash  (123456.1234567 * 3.1234567) USD\n  Equity:Rest',
+    '2020-04-10 * "wrong"\n  Assets:Cash  1 EUR @ -9.10 USD\n  Equity:Rest',
+    '2020-04-11 * "negative"\n  Assets:Other  1 XX {-1.00 USD}\n  Equity:Rest',
+    '2020-04-12 * "third"\n  Assets:Cash  (1/3) USD\n  Equity:Rest',
+)
+
+
+@pytest.mark.parametrize("pushed", ["", "pushmeta by: 1\n"])
+def test_plain_transactions_as_any_other(spark, pushed):
+    texts = [HEAD.rstrip("\n"), *PLAIN, *OTHER, *(pushed + x for x in PLAIN), *(["popmeta by:"] * len(PLAIN) if pushed else []), "poptag #all"]
+    assert content(in_pieces(spark, texts)) == content(loader.load_text(spark, "\n".join(texts) + "\n", "book"))
+
+
+def test_plain_transactions_are_taken_at_once():
+    config, _ = pieces.config_of([])
+    process = pieces.Process(config)
+    process.process(T.parse(HEAD, "book").directives)
+    plain = pieces.Plain(config, process.accounts, "book")
+    for some, want in ((PLAIN, True), (OTHER, False)):
+        for text in some:
+            assert [type(d) is tuple for d in T.parse(text + "\n", "book", plain=plain).directives] == [want], text
+
+
+def test_reductions_without_lots_are_not_one_task(spark):
+    vain = ['2020-06-{d} * "no lots"\n  Assets:Other  -{i} YY {{}}\n  Equity:Rest\n', '2020-06-{d} * "one of two"\n  Assets:Other  -{i} YY {{}}\n  Assets:Stock  -900 AB {{}}\n  Equity:Rest\n']
+    texts = [*made(30), *[vain[i % 2].format(d=10 + i % 15, i=i + 1) for i in range(60)]]
+    assert content(in_pieces(spark, texts)) == content(loader.load_text(spark, "\n".join(texts) + "\n", "book"))
+    d = T.parse(vain[0].format(d=10, i=1), "book").directives[0]
+    account = {"Assets:Other": Account(dt.date(2020, 1, 1))}
+    assert pieces.needed(d, account) == ["Assets:Other YY"] and pieces.held_by(d) == []
+    rows = spark.createDataFrame([(1, ["A YY"], []), (2, ["A AB"], []), (3, ["A YY", "A AB"], []), (4, None, []), (5, ["B CD"], ["B"])], "lineno long, tags array<string>, links array<string>")
+    gains = spark.createDataFrame([(["A AB"],)], "links array<string>")
+    assert sorted(r.lineno for r in pieces._in_vain(spark, rows, gains).filter("vain").collect()) == [1]
