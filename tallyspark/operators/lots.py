@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,21 +11,30 @@ KEYS = ("account", "currency", "cost.currency", "cost.number")
 
 
 def _fold(batches):
-    """ord and date of the undated rows; rows come sorted by key and ord, and only the lots of one key are held."""
+    """ord and date of the undated rows; rows come sorted by key and ord, and only the lots of one key are held.
+
+    Dates of lots of a sign are in a heap, in which those stay that have no such units any more until they come first."""
     import pyarrow as pa
 
-    key, lots = None, {}
+    key, lots, above = None, {}, {True: [], False: []}
     for batch in batches:
         ords, found = [], []
         columns = [batch.column(name).to_pylist() for name in ("key", "ord", "date", "number", "cost_date")]
         for its, ord_, date, n, cost_date in zip(*columns, strict=True):
             if its != key:
-                key, lots = its, {}
+                key, lots, above = its, {}, {True: [], False: []}
             if cost_date is None:
-                cost_date = min((d for d, units in lots.items() if units and (units > 0) != (n > 0)), default=date)
+                opposite = n <= 0
+                heap = above[opposite]
+                while heap and not (lots[heap[0]] and (lots[heap[0]] > 0) == opposite):
+                    heappop(heap)
+                cost_date = heap[0] if heap else date
                 ords.append(ord_)
                 found.append(cost_date)
-            lots[cost_date] = lots.get(cost_date, 0) + n
+            before = lots.get(cost_date, 0)
+            lots[cost_date] = now = before + n
+            if now and (not before or (before > 0) != (now > 0)):
+                heappush(above[now > 0], cost_date)
         yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), pa.array(found, pa.date32())], ["ord", "found"])
 
 

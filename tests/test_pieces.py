@@ -142,3 +142,36 @@ def test_reductions_without_lots_are_not_one_task(spark):
     rows = spark.createDataFrame([(1, ["A YY"], []), (2, ["A AB"], []), (3, ["A YY", "A AB"], []), (4, None, []), (5, ["B CD"], ["B"])], "lineno long, tags array<string>, links array<string>")
     gains = spark.createDataFrame([(["A AB"],)], "links array<string>")
     assert sorted(r.lineno for r in pieces._in_vain(spark, rows, gains).filter("vain").collect()) == [1]
+
+
+def test_dates_of_lots_by_heaps():
+    import random
+    import time
+    from decimal import Decimal
+
+    import pyarrow as pa
+
+    from tallyspark.operators import lots
+
+    def dates(rows):
+        return [d for b in lots._fold([pa.RecordBatch.from_pylist(rows)]) for d in b.column(1).to_pylist()]
+
+    def plainly(rows):
+        key, held, out = None, {}, []
+        for r in rows:
+            if r["key"] != key:
+                key, held = r["key"], {}
+            d = r["cost_date"]
+            if d is None:
+                d = min((x for x, units in held.items() if units and (units > 0) != (r["number"] > 0)), default=r["date"])
+                out.append(d)
+            held[d] = held.get(d, 0) + r["number"]
+        return out
+
+    at, start = random.Random(5), dt.date(2020, 1, 1)
+    day = lambda n: start + dt.timedelta(at.randrange(n))
+    rows = [{"key": str(k), "ord": i, "date": day(40), "number": Decimal(at.randrange(-3, 4)), "cost_date": day(40) if at.random() < 0.5 else None} for k in range(40) for i in range(120)]
+    assert dates(rows) == plainly(rows)
+    rows = [{"key": "one", "ord": i, "date": start + dt.timedelta(i % 20_000), "number": Decimal(5), "cost_date": None} for i in range(60_000)]
+    began = time.process_time()
+    assert dates(rows) == [r["date"] for r in rows] and time.process_time() - began < 10
