@@ -256,6 +256,36 @@ def test_jaccard_dedup_keeps_one_of_each_group(spark):
     assert sorted(kept) == sorted(want)
 
 
+def blocks_of(texts, bits, short):
+    import pyarrow as pa
+
+    batches = list(jaccard._blocks(5, bits, np.empty(0, np.uint64), short)([pa.RecordBatch.from_pydict({"text": texts})]))
+    return pa.Table.from_batches(batches)
+
+
+@pytest.mark.parametrize("short", [True, False])
+def test_jaccard_sends_nodes_by_name_beside_tokens(short):
+    texts = [t for _, t in some_texts(n=60) if t]
+    sizes = {jaccard.node_of(s): len(s) for s in (_text.shingle_set(_text.word_hashes(t.encode(), lower=True), 5) for t in texts) if len(s) > 1}
+    table = blocks_of(texts, 10, short)
+    sent = sum(len(x) for c in ("nodes", "sizes", "docs", "tokens") for x in table.column(c).to_pylist())
+    assert sent <= sum(sizes.values()) * (8 if short else 16) + sum(sizes.values()) * (4 + 2) + 24 * len(sizes)
+
+
+def test_jaccard_index_is_the_same_by_either_name():
+    import pyarrow as pa
+
+    def index(short, bits=4):
+        table, found = blocks_of(texts, bits, short), []
+        shared = pa.concat_tables([jaccard._count(bits, short)(table.filter(pa.compute.equal(table.column("range"), r))) for r in range(1 << bits)])
+        for b in range(1 << bits):
+            found += [str(r) for r in jaccard._index(jaccard.SHARE, jaccard.COMBINED, short)(shared.filter(pa.compute.equal(shared.column("bucket"), b))).to_pylist()]
+        return sorted(found)
+
+    texts = [t for _, t in some_texts(n=60) if t]
+    assert index(True) == index(False) and len(index(True)) > 60
+
+
 def test_counter_misses_nothing_frequent():
     rng = np.random.default_rng(1)
     tokens = np.concatenate([rng.integers(100, 10**9, 5000), np.repeat(7, 300), np.repeat(8, 200)]).astype(np.uint64)
