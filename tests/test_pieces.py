@@ -132,6 +132,24 @@ def test_plain_transactions_are_taken_at_once():
             assert [type(d) is tuple for d in T.parse(text + "\n", "book", plain=plain).directives] == [want], text
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_two_postings_at_once_as_one_by_one(monkeypatch, end):
+    config, _ = pieces.config_of([])
+    process = pieces.Process(config)
+    process.process(T.parse(HEAD, "book").directives)
+    plain, two, taken = pieces.Plain(config, process.accounts, "book"), pieces.Plain._two, []
+    sums = ("(1.50 + 2*3 - .5)", "(2.50)", "( 2. * 3.10 )", "(7 - 3.005)", "-4.10", "(1 - 1)", "(99999.5 * 3 * 0 + 2)", "(12345678901.25)")
+    more = [f'2020-03-0{i + 1} {"*!P"[i % 3]} "a \\"b\\"" "c" #t ^l\n  key: {i}\n  Assets:Cash  {n} USD\n  ! Equity:Rest\n' for i, n in enumerate(sums)]
+    more += ['2020-03-09 * "priced"\n  Assets:Stock  3 AB {0.25 USD} @ 7.5 EUR\n  Equity:Rest\n\n', '2020-03-09 * "late"\n  Equity:Rest  1 USD\n  Assets:None\n\n  ; said\n']
+    text = "\n".join([*PLAIN, *OTHER, *more, ""]).replace("\n", end)
+    monkeypatch.setattr(pieces.Plain, "_two", lambda self, *at: taken.append(two(self, *at)) or taken[-1])
+    found = T.parse(text, "book", 1, ["all"], (), plain).directives
+    assert sum(x is not None for x in taken) > 8
+    monkeypatch.setattr(pieces.Plain, "_two", lambda self, *at: None)
+    monkeypatch.setattr("tallyspark.sources.plain._FLAT", T.re.compile(r"(?!)"))
+    assert [repr(x) for x in T.parse(text, "book", 1, ["all"], (), plain).directives] == [repr(x) for x in found]
+
+
 def test_reductions_without_lots_are_not_one_task(spark):
     vain = ['2020-06-{d} * "no lots"\n  Assets:Other  -{i} YY {{}}\n  Equity:Rest\n', '2020-06-{d} * "one of two"\n  Assets:Other  -{i} YY {{}}\n  Assets:Stock  -900 AB {{}}\n  Equity:Rest\n']
     texts = [*made(30), *[vain[i % 2].format(d=10 + i % 15, i=i + 1) for i in range(60)]]
