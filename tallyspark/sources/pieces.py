@@ -28,6 +28,7 @@ from tallyspark.plans.rows import ENTRY, POSTING
 from tallyspark.sources import ledger_text as T
 from tallyspark.sources.config import config_of
 from tallyspark.sources.plain import Columns, Plain, gain, gained
+from tallyspark.sources.runs import Run, Runs, batch, gained_of, gains_of, text_of
 from tallyspark.sources.loader import FORM, Unread, _number, as_ledger, read_file, rows_of, rows_of_directive
 
 STATE = ("open", "close", "commodity")
@@ -36,9 +37,10 @@ _MET = re.compile(r"(?:^|[\r\n])\d{4}[-/]\d{2}[-/]\d{2}[ \t]+(?:open|close|commo
 _PUSHED = re.compile(r"(?:^|[\r\n])(?:push|pop)(?:tag|meta)\b")
 _CHUNK = 1 << 19  # characters parsed at once
 _ROWS, _LEAST = 10_000, 4000  # rows of a batch, at most, and of one of plain transactions, at least
+_PICKLED = b"\x80"  # with which pickles begin, and no currency does
 _PLACES = 24  # bits of a posting's place in its entry
 _OWN = {c: t for c, t in POSTING.items() if c not in ENTRY and c != "ord"}
-_MORE = {"pid": "int", "priority": "int", "rank": "bigint", "payload": "binary", "postings": f"array<struct<{','.join(f'{c}:{t}' for c, t in _OWN.items())}>>"}
+_MORE = {"pid": "int", "priority": "int", "rank": "bigint", "payload": "binary", "marks": "string", "postings": f"array<struct<{','.join(f'{c}:{t}' for c, t in _OWN.items())}>>"}
 _LEFT = ("ledger", "ord", "entry_id", *[c for c in _OWN if c not in ("account", "number", "currency")], "open", "close", "currencies", "booking")
 _SCHEMA = ", ".join(f"`{c}` {t}" for c, t in (FORM | _MORE).items() if c not in _LEFT)
 
@@ -207,13 +209,19 @@ def _each(name: str, starts, known):
         config, files, accounts, invalid = known.value
         process, out, counts, last = Process(config, files), _Rows(schema), Counter(), None
         process.accounts = accounts = {n: type(a)(a.opened, a.closed, a.currencies, a.booking, _Apart()) for n, a in accounts.items()}
-        plain, quick = Plain(config, accounts, name), Columns(schema, name)
+        plain, quick = Runs(config, accounts, name), Columns(schema, name)
         for pid, _, f in _parsed(name, starts, batches, plain):
             last = pid
             if isinstance(f, Unread):
                 out.rows.append({"part": "error", "message": f.message, "lineno": f.line})
                 continue
+            tables = []
             for d in f.directives:
+                if type(d) is Run:
+                    if not tables or tables[-1] is not d.table:
+                        tables.append(d.table)
+                    d.table.take(d, counts)
+                    continue
                 if type(d) is tuple:
                     date = d[0][0]
                     rank = counts[date, 0]
@@ -238,6 +246,8 @@ def _each(name: str, starts, known):
                             out.rows.append({"part": "gained", "date": d.date, "lineno": d.line, "account": account, "payload": pickle.dumps(gains), "links": sorted({f"{account} {g[0]}" for g in gains})})
                 if len(out.rows) >= _ROWS:
                     yield from out.batches(_ROWS)
+            for table in tables:
+                yield batch(table, schema, name, pid)
             yield from quick.batches(_LEAST)
         yield from quick.batches()
         for (date, priority), n in counts.items():
@@ -263,7 +273,7 @@ def _in_order(known):
                     group, touched = r["grp"], set()
                 if r["part"] == "gained":
                     touched.add(r["account"])
-                    for currency, units, *cost in gained(r["payload"]):
+                    for currency, units, *cost in [gained_of(r["payload"])] if r["payload"][:1] != _PICKLED else gained(r["payload"]):
                         process.accounts[r["account"]].holdings.add(currency, units, LotCost(*cost))
                     continue
                 d, key = pickle.loads(r["payload"]), {"pid": r["pid"], "priority": r["priority"], "rank": r["rank"]}
@@ -309,13 +319,14 @@ def _in_vain(spark: SparkSession, reducers: DataFrame, gained: DataFrame) -> Dat
 
 
 def _reduced(spark: SparkSession, rows: DataFrame, known) -> DataFrame:
-    every = _in_vain(spark, rows.filter("part = 'reducing'"), rows.filter("part = 'gained'"))
+    gains = rows.filter("part = 'gained'").select("part", "date", "lineno", "account", "payload", "links").unionByName(gains_of(rows))
+    every = _in_vain(spark, rows.filter("part = 'reducing'"), gains)
     columns = ["part", "date", "lineno", "account", "pid", "priority", "rank", "payload"]
     alone = every.filter("vain").withColumn("account", F.lit(None).cast("string")).select(columns)
     reducers = every.filter("NOT vain")
     touched = reducers.select(F.explode("accounts").alias("account")).distinct()
-    gained = rows.filter("part = 'gained'").join(touched, "account", "left_semi")
-    moves = reducers.withColumn("account", F.col("accounts")[0]).select(columns).unionByName(gained.select(columns))
+    gained = gains.join(touched, "account", "left_semi")
+    moves = reducers.withColumn("account", F.col("accounts")[0]).select(columns).unionByName(gained.select(*[c for c in columns if c in gained.columns]), allowMissingColumns=True)
     links = [r.accounts for r in reducers.filter("size(accounts) > 1").select("accounts").distinct().collect()]
     if links:
         groups = spark.createDataFrame(_groups(links), "account string, grp string")
@@ -394,7 +405,7 @@ def load_pieces(spark: SparkSession, pieces: DataFrame, order: list[str], name:
     postings = entries.select(*ENTRY, F.posexplode("postings").alias("place", "posting")).withColumn("ord", F.shiftleft("entry_id", _PLACES) + F.col("place") + 1).select("ord", *ENTRY, *own)
     accounts = [(n, a.opened, a.closed, list(a.currencies), a.booking) for n, a in process.accounts.items()]
     out = Ledger(
-        postings=postings.select(*POSTING), entries=entries.select("ord", *ENTRY, "text", "account", "number", "currency", "detail"), prices=prices.select("date", "base", "quote", "rate", "ord"),
+        postings=postings.select(*POSTING), entries=entries.select("ord", *ENTRY, F.when(F.col("marks").isNull(), F.col("text")).otherwise(text_of()).alias("text"), "account", "number", "currency", "detail"), prices=prices.select("date", "base", "quote", "rate", "ord"),
         accounts=spark.createDataFrame(accounts, "account string, open date, close date, currencies array<string>, booking string"), roots=tuple(config.roots),
     )
     found = [_diagnostic(x) for x in [Diagnostic("error", "option", message, name, line) for line, message in wrong] + process.diagnostics]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.processing import Account
 from tallyspark.sources import ledger_text as T
-from tallyspark.sources import loader, pieces
+from tallyspark.sources import loader, pieces, runs
 
 HEAD = """option "title" "Pieces"
 option "inferred_tolerance_default" "*:0.001"
@@ -150,6 +150,50 @@ def test_two_postings_at_once_as_one_by_one(monkeypatch, end):
     assert [repr(x) for x in T.parse(text, "book", 1, ["all"], (), plain).directives] == [repr(x) for x in found]
 
 
+RUN = (
+    '{d} {f} "Pay\\"ee" "n" #p{e} ^l{i}\n  key: {i}\n  Assets:Cash  ({i}.50 + 10.00 - 5 * 2) USD\n  ! Equity:Rest\n',
+    '{d} {f} "one"\n  name: "x é"\n  Assets:Stock  {e} AB {{{i}.25 USD}}\n  Equity:Rest',
+    '{d} {f} "back\\\\slash" "" ^l{i} #p{e} ^k #p{e}\n  Assets:Cash  -{e}.10 EUR @ 0{e}.50 USD\n  Equity:Rest\n\n   \n',
+    '{d} {f}\n  Assets:Other  (1.0*{e}) AB {{{i}.50 USD, 2019-01-0{e}}} @ 9 EUR\n  Assets:Cash\n',
+    '{d} {f} "a\\nb" ""\n  zero: 0{i}\n  Assets:None  {e}.000 AB {{{i} USD}}\n  Assets:Cash\n',
+    '{d} {f} "odd" "numbers"\n  Equity:Rest  {n} USD\n  Equity:Rest',
+    '{d} {f} "sell"\n  Assets:Stock  -1 AB {{}}\n  Equity:Rest\n',
+    '{d} {f} "three"\n  Assets:Cash  1 USD\n  Assets:Cash  2 USD\n  Equity:Rest\n',
+)
+ODD = ("0", "(1 - 1)", "1.00000000001", "(2.500 * 4)", "(2.500)", "9999999999999999", "-10000000000000000", "922337203.6854775807", "1,000.00", "(.5*3 - 2.)", "(9999999 * 99999)", "(1000000000000 * 0.001)", "(1/3)", "0.0000001", "-0.50", "(1 + (2 - 3) * 4)", "12345678901234567.8")
+
+
+def made_runs(n=400):
+    head = HEAD.replace("2020-01-01 open", "2000-01-01 open")
+    days = ("2001-02-28", "2004-02-29", "1999-12-31", "2021-06-01", "2021-06-02")
+    return [head, *[RUN[i % 6 if i < 300 else i * 5 % 8].format(i=i, e=1 + i % 9, f="*!P"[i % 3], n=ODD[i // 6 % len(ODD)], d=days[i // 7 % 5] if i % 7 == 3 else f"20{10 + i % 9}-03-{10 + i % 3}") for i in range(n)], "poptag #all"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_runs_of_transactions_as_one_by_one(spark, end):
+    texts = [x.replace("\n", end) + end[:-1] for x in made_runs()]
+    found = content(in_pieces(spark, texts))
+    assert len(found["entries"]) > 400 and found == content(loader.load_text(spark, "\n".join(texts) + "\n", "book"))
+
+
+@pytest.mark.parametrize("chunk", [1, 3000])
+def test_short_runs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(pieces, "_CHUNK", chunk)
+    assert content(in_pieces(spark, made_runs(200))) == content(loader.load_text(spark, "\n".join(made_runs(200)) + "\n", "book"))
+
+
+def test_runs_are_taken_at_once():
+    config, _ = pieces.config_of([])
+    process = pieces.Process(config)
+    process.process(T.parse(HEAD, "book").directives)
+    text = "\n".join(RUN[i % 4].format(i=i + 1, e=1 + i % 9, f="*", n=1, d="2020-03-01") for i in range(100)) + "\n"
+    found = T.parse(text, "book", 5, ("all",), (), runs.Runs(config, process.accounts, "book")).directives
+    assert [type(x) for x in found] == [runs.Run]  # else a directive each and (found[0].first, found[0].last) == (0, 100)
+    assert found[0].table.columns["entry"]["lineno"].to_pylist()[:3] == [5, 10, 14]
+    n, scale, fine = runs._sums(["(2 * 3.50 - 1)", None, "(1.5 + 2*2 - 0.25 * 3)", "(1 - 1)", "(2.50)"])
+    assert list(zip(n.tolist(), scale.tolist()))[::2] == [(6, 0), (475, 2), (250, 2)] and fine.tolist() == [True, False, True, False, True]
+
+
 def test_reductions_without_lots_are_not_one_task(spark):
     vain = ['2020-06-{d} * "no lots"\n  Assets:Other  -{i} YY {{}}\n  Equity:Rest\n', '2020-06-{d} * "one of two"\n  Assets:Other  -{i} YY {{}}\n  Assets:Stock  -900 AB {{}}\n  Equity:Rest\n']
     texts = [*made(30), *[vain[i % 2].format(d=10 + i % 15, i=i + 1) for i in range(60)]]
