@@ -37,6 +37,7 @@ _MET = re.compile(r"(?:^|[\r\n])\d{4}[-/]\d{2}[-/]\d{2}[ \t]+(?:open|close|commo
 _PUSHED = re.compile(r"(?:^|[\r\n])(?:push|pop)(?:tag|meta)\b")
 _CHUNK = 1 << 19  # characters parsed at once
 _ROWS, _LEAST = 10_000, 4000  # rows of a batch, at most, and of one of plain transactions, at least
+_KEY = ("pid", "priority", "rank")
 _PICKLED = b"\x80"  # with which pickles begin, and no currency does
 _PLACES = 24  # bits of a posting's place in its entry
 _OWN = {c: t for c, t in POSTING.items() if c not in ENTRY and c != "ord"}
@@ -208,6 +209,7 @@ def _each(name: str, starts, known):
     def run(batches):
         config, files, accounts, invalid = known.value
         process, out, counts, last = Process(config, files), _Rows(schema), Counter(), None
+        added, undated = set(), False
         process.accounts = accounts = {n: type(a)(a.opened, a.closed, a.currencies, a.booking, _Apart()) for n, a in accounts.items()}
         plain, quick = Runs(config, accounts, name), Columns(schema, name)
         for pid, _, f in _parsed(name, starts, batches, plain):
@@ -238,6 +240,7 @@ def _each(name: str, starts, known):
                 valid = d.line not in invalid if d.kind in STATE else process.take(d)
                 out.found(process, key)
                 out.directive(d, valid, key)
+                undated = undated or any(p["cost"] is not None and p["cost"]["date"] is None for p in out.rows[-1]["postings"])
                 if valid and any(p.cost is not None for p in d.postings):
                     for account in {p.account for p in d.postings if p.cost is not None}:
                         a = accounts[account]
@@ -247,9 +250,17 @@ def _each(name: str, starts, known):
                 if len(out.rows) >= _ROWS:
                     yield from out.batches(_ROWS)
             for table in tables:
+                added.update(table.lots())
                 yield batch(table, schema, name, pid)
+            if len(added) >= _ROWS:
+                out.rows.append({"part": "adds", "links": sorted(added)})
+                added.clear()
             yield from quick.batches(_LEAST)
         yield from quick.batches()
+        if added:
+            out.rows.append({"part": "adds", "links": sorted(added)})
+        if undated:
+            out.rows.append({"part": "undated"})
         for (date, priority), n in counts.items():
             out.rows.append({"part": "count", "date": date, "priority": priority, "pid": last, "rank": n})
         yield from out.batches()
@@ -265,18 +276,19 @@ def _in_order(known):
         config, files, accounts, _ = known.value
         process, out, group, touched = Process(config, files), _Rows(schema), None, set()
         process.accounts = {n: type(a)(a.opened, a.closed, a.currencies, a.booking) for n, a in accounts.items()}
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["grp"] != group:
+        for some in batches:
+            for part, grp, account, payload, *key in zip(*[some.column(c).to_pylist() for c in ("part", "grp", "account", "payload", *_KEY)], strict=True):
+                if grp != group:
                     for n in touched:
                         process.accounts[n].holdings = Holdings()
-                    group, touched = r["grp"], set()
-                if r["part"] == "gained":
-                    touched.add(r["account"])
-                    for currency, units, *cost in [gained_of(r["payload"])] if r["payload"][:1] != _PICKLED else gained(r["payload"]):
-                        process.accounts[r["account"]].holdings.add(currency, units, LotCost(*cost))
+                    group, touched = grp, set()
+                if part == "gained":
+                    touched.add(account)
+                    add = process.accounts[account].holdings.add
+                    for currency, units, cost in [gained_of(payload)] if payload[:1] != _PICKLED else ((c, n, LotCost(*more)) for c, n, *more in gained(payload)):
+                        add(currency, units, cost)
                     continue
-                d, key = pickle.loads(r["payload"]), {"pid": r["pid"], "priority": r["priority"], "rank": r["rank"]}
+                d, key = pickle.loads(payload), dict(zip(_KEY, key, strict=True))
                 touched.update(p.account for p in d.postings if p.account in process.accounts)
                 valid = process.take(d)
                 out.found(process, key)
@@ -304,12 +316,12 @@ def _groups(links: list[list[str]]) -> list[tuple[str, str]]:
     return [(x, root(x)) for x in list(parent)]
 
 
-def _in_vain(spark: SparkSession, reducers: DataFrame, gained: DataFrame) -> DataFrame:
+def _in_vain(spark: SparkSession, reducers: DataFrame, added: DataFrame) -> DataFrame:
     """The reducers with a column ``vain``: whether nothing in the ledger adds to any of the lots that one reduces.
 
     It then fails and changes nothing, and needs not be booked in order with others of its account."""
     wanted = reducers.select("lineno", F.explode("tags").alias("lots"))
-    added = reducers.select("links").unionByName(gained.select("links")).select(F.explode("links").alias("lots")).distinct()
+    added = reducers.select("links").unionByName(added.select("links")).select(F.explode("links").alias("lots")).distinct().persist()
     whole = F.substring_index("lots", " ", 1)  # what adds to an account in a currency not stated may add to any of its lots
     lots = wanted.select("lots").distinct().join(added, "lots", "left_anti")
     lacking = lots.join(added.withColumnRenamed("lots", "account"), whole == F.col("account"), "left_anti").withColumn("lacking", F.lit(True))
@@ -319,9 +331,9 @@ def _in_vain(spark: SparkSession, reducers: DataFrame, gained: DataFrame) -> Dat
 
 
 def _reduced(spark: SparkSession, rows: DataFrame, known) -> DataFrame:
-    gains = rows.filter("part = 'gained'").select("part", "date", "lineno", "account", "payload", "links").unionByName(gains_of(rows))
-    every = _in_vain(spark, rows.filter("part = 'reducing'"), gains)
-    columns = ["part", "date", "lineno", "account", "pid", "priority", "rank", "payload"]
+    gains = rows.filter("part = 'gained'").select("part", "date", "lineno", "account", "payload").unionByName(gains_of(rows))
+    every = _in_vain(spark, rows.filter("part = 'reducing'"), rows.filter("part IN ('gained', 'adds')"))
+    columns = ["part", "date", "lineno", "account", *_KEY, "payload"]
     alone = every.filter("vain").withColumn("account", F.lit(None).cast("string")).select(columns)
     reducers = every.filter("NOT vain")
     touched = reducers.select(F.explode("accounts").alias("account")).distinct()
@@ -341,7 +353,7 @@ def _reduced(spark: SparkSession, rows: DataFrame, known) -> DataFrame:
 
 def _numbered(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Entries in ledger order: days, kinds of a day, tasks, places in a task."""
-    counts = counts.filter("part = 'count'").select("date", "priority", "pid", F.col("rank").alias("n")).coalesce(1).persist()  # a row a day and task, read by every query
+    counts = counts.filter("part = 'count'").select("date", "priority", "pid", F.col("rank").alias("n")).repartition(1).persist()  # a row a day and task, read by every query
     by_day = counts.groupBy("date", "priority").agg(F.sum("n").alias("n"))
     days = Window.orderBy("date", "priority").rowsBetween(Window.unboundedPreceding, -1)
     tasks = Window.partitionBy("date", "priority").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -412,5 +424,7 @@ def load_pieces(spark: SparkSession, pieces: DataFrame, order: list[str], name:
     faults = ["severity", "code", "message", "filename", "lineno", "date", "account"]
     small = spark.createDataFrame([tuple(x[c] for c in faults) for x in found], "severity string, code string, message string, filename string, lineno bigint, date date, account string")
     out.diagnostics = every.filter("part = 'diagnostic'").select(*faults).unionByName(small)
+    if "reducing" not in present:  # else it is looked for, where it is asked for
+        out.has_undated_costs = "undated" in present
     out.operating_currencies, out.title = list(config.currencies), config.title
     return out

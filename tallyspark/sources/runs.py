@@ -16,6 +16,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.operators.booking import LotCost
 from tallyspark.operators.processing import Account
 from tallyspark.plans import values as V
 from tallyspark.sources import ledger_text as T
@@ -42,12 +43,15 @@ class Run:
 class Table:
     """Columns of transactions in the order of their text; ``pid``s and ``rank``s follow, as runs of them are taken."""
 
-    def __init__(self, dates: list, columns: dict):
-        self.dates, self.columns, self.taken, self.ranks = dates, columns, [], []
+    def __init__(self, dates: list, columns: dict, gained: set[tuple[str, str]]):
+        self.dates, self.columns, self.gained, self.ranks = dates, columns, gained, []
+
+    def lots(self) -> list[str]:
+        """What is added to: "account currency"."""
+        return [f"{account} {currency}" for account, currency in self.gained]
 
     def take(self, run: Run, counts: dict) -> None:
         """Numbers the transactions of a run by day."""
-        self.taken.append(run)
         ranks = self.ranks
         for date in self.dates[run.first : run.last]:
             n = counts.get((date, 0), 0)
@@ -200,9 +204,11 @@ class Runs(Plain):
             "account": leg(account, account2), "posting_flag": leg([x or "" for x in mark], [x or "" for x in mark2]), "posting_line": pa.array(_woven(under, under + 1)),
             "number": _decimal(_woven(_ten(n, scale), _ten(-weight, places))), "scale": pa.array(_woven(scale, places).astype(np.int32)), "currency": leg(currency, by),
         }
+        gained = set()
         if at_cost is not None:
             c, s = at_cost[0][ok], at_cost[1][ok]
             has = np.array([x is not None for x in pick(cost)])
+            gained.update((x, y) for x, y, z in zip(account, currency, has.tolist(), strict=True) if z)
             when = [(x or y) if z else None for x, y, z in zip(pick(bought), dates, has.tolist(), strict=True)]
             postings["cost"] = _amounts(c, s, pick(cost_currency), has), pa.array(_dealt(when, [None] * size), pa.date32())
         if at_price is not None:
@@ -224,7 +230,7 @@ class Runs(Plain):
                 has, pa.array([key[i] for i in held], pa.string()), pa.array(["string" if digits[i] is None else "number" for i in held], pa.string()),
                 pa.array([string[i] if digits[i] is None else digits[i] for i in held], pa.string()), _decimal(np.where(numeric, _ten(k, s), 0)[has], numeric[has]),
             )
-        return Table(dates, {"entry": entry, "postings": postings, "meta": meta}), taken
+        return Table(dates, {"entry": entry, "postings": postings, "meta": meta}, gained), taken
 
 
 def _plainly(raw: str) -> str:
@@ -411,21 +417,27 @@ def text_of() -> Column:
 
 
 def gains_of(rows: DataFrame) -> DataFrame:
-    """What accounts gain at cost in these transactions, as rows ``gained``; ``links``: the lots."""
+    """What accounts gain at cost in these transactions, as rows ``gained``."""
     p = F.get("postings", F.lit(0))
     cost = p["cost"]
     whole = lambda x: [(x["number"] * F.lit(10**SCALE)).cast("bigint").cast("string"), x["scale"].cast("string")]
     payload = F.concat_ws(_SEPARATOR, p["currency"], *whole(p), *whole(cost), cost["currency"], cost["date"].cast("string"))
     found = rows.filter(F.col("marks").isNotNull() & cost.isNotNull())
-    return found.select(F.lit("gained").alias("part"), "date", "lineno", p["account"].alias("account"), F.encode(payload, "UTF-8").alias("payload"), F.array(F.concat_ws(" ", p["account"], p["currency"])).alias("links"))
+    return found.select(F.lit("gained").alias("part"), "date", "lineno", p["account"].alias("account"), F.encode(payload, "UTF-8").alias("payload"))
 
 
 def gained_of(payload: bytes) -> tuple:
-    """As one of ``gained``, of what ``gains_of`` gives."""
-    currency, units, scale, number, digits, cost_currency, date = payload.decode().split(_SEPARATOR)
-    return currency, _as_written(units, scale), _as_written(number, digits), cost_currency, dt.date.fromisoformat(date), None
+    """Currency, units and cost, of what ``gains_of`` gives."""
+    currency, units, scale, cost = payload.decode().split(_SEPARATOR, 3)
+    return currency, _as_written(units, scale), _cost(cost)
 
 
 @lru_cache(1 << 16)
+def _cost(text: str) -> LotCost:
+    number, scale, currency, date = text.split(_SEPARATOR)
+    return LotCost(_as_written(number, scale), currency, dt.date.fromisoformat(date))
+
+
+@lru_cache(1 << 12)
 def _as_written(n: str, scale: str) -> Decimal:
     return Decimal(int(n) // 10 ** (SCALE - int(scale))).scaleb(-int(scale))
