@@ -37,6 +37,7 @@ _MET = re.compile(r"(?:^|[\r\n])\d{4}[-/]\d{2}[-/]\d{2}[ \t]+(?:open|close|commo
 _PUSHED = re.compile(r"(?:^|[\r\n])(?:push|pop)(?:tag|meta)\b")
 _CHUNK = 1 << 19  # characters parsed at once
 _ROWS, _LEAST = 10_000, 4000  # rows of a batch, at most, and of one of plain transactions, at least
+_FEW = 50_000  # transactions that reduce lots
 _KEY = ("pid", "priority", "rank")
 _PICKLED = b"\x80"  # with which pickles begin, and no currency does
 _PLACES = 24  # bits of a posting's place in its entry
@@ -330,24 +331,32 @@ def _in_vain(spark: SparkSession, reducers: DataFrame, added: DataFrame) -> Data
     return reducers.join(lines, "lineno", "left").withColumn("vain", F.coalesce("vain", F.lit(False)))
 
 
-def _reduced(spark: SparkSession, rows: DataFrame, known) -> DataFrame:
-    gains = rows.filter("part = 'gained'").select("part", "date", "lineno", "account", "payload").unionByName(gains_of(rows))
-    every = _in_vain(spark, rows.filter("part = 'reducing'"), rows.filter("part IN ('gained', 'adds')"))
+def _reduced(spark: SparkSession, rows: DataFrame, known, few: bool) -> DataFrame:
+    """``few``: whether the transactions that reduce lots are few enough for one task, should they all meet, and their accounts for the driver."""
     columns = ["part", "date", "lineno", "account", *_KEY, "payload"]
-    alone = every.filter("vain").withColumn("account", F.lit(None).cast("string")).select(columns)
-    reducers = every.filter("NOT vain")
-    touched = reducers.select(F.explode("accounts").alias("account")).distinct()
-    gained = gains.join(touched, "account", "left_semi")
-    moves = reducers.withColumn("account", F.col("accounts")[0]).select(columns).unionByName(gained.select(*[c for c in columns if c in gained.columns]), allowMissingColumns=True)
-    links = [r.accounts for r in reducers.filter("size(accounts) > 1").select("accounts").distinct().collect()]
-    if links:
-        groups = spark.createDataFrame(_groups(links), "account string, grp string")
-        moves = moves.join(F.broadcast(groups), "account", "left").withColumn("grp", F.coalesce("grp", "account"))
-    else:
-        moves = moves.withColumn("grp", F.col("account"))
+    reducers = rows.filter("part = 'reducing'")
+    gains = rows.filter("part = 'gained'").select("part", "date", "lineno", "account", "payload").unionByName(gains_of(rows))
     parts = 4 * spark.sparkContext.defaultParallelism
-    alone = alone.withColumn("grp", F.concat(F.lit("\n"), F.pmod("lineno", F.lit(parts)).cast("string")))  # no account has such a name
-    moves = moves.unionByName(alone).repartition(parts, "grp").sortWithinPartitions("grp", "date", "lineno")
+    if few:
+        met = [r.accounts for r in reducers.select("accounts").distinct().collect()]
+        together = dict(_groups([x for x in met if len(x) > 1]))
+        groups = spark.createDataFrame([(x, together.get(x, x)) for x in sorted(set().union(*met))], "account string, grp string")
+        moves = reducers.withColumn("account", F.col("accounts")[0]).select(columns).unionByName(gains, allowMissingColumns=True).join(F.broadcast(groups), "account")
+    else:
+        every = _in_vain(spark, reducers, rows.filter("part IN ('gained', 'adds')"))
+        alone = every.filter("vain").withColumn("account", F.lit(None).cast("string")).select(columns)
+        reducers = every.filter("NOT vain")
+        touched = reducers.select(F.explode("accounts").alias("account")).distinct()
+        moves = reducers.withColumn("account", F.col("accounts")[0]).select(columns).unionByName(gains.join(touched, "account", "left_semi"), allowMissingColumns=True)
+        links = [r.accounts for r in reducers.filter("size(accounts) > 1").select("accounts").distinct().collect()]
+        if links:
+            groups = spark.createDataFrame(_groups(links), "account string, grp string")
+            moves = moves.join(F.broadcast(groups), "account", "left").withColumn("grp", F.coalesce("grp", "account"))
+        else:
+            moves = moves.withColumn("grp", F.col("account"))
+        alone = alone.withColumn("grp", F.concat(F.lit("\n"), F.pmod("lineno", F.lit(parts)).cast("string")))  # no account has such a name
+        moves = moves.unionByName(alone)
+    moves = moves.repartition(parts, "grp").sortWithinPartitions("grp", "date", "lineno")
     return moves.mapInArrow(_in_order(known), _SCHEMA)
 
 
@@ -405,12 +414,12 @@ def load_pieces(spark: SparkSession, pieces: DataFrame, order: list[str], name:
     ordered_state = process.process(directives)
     known = spark.sparkContext.broadcast((config, None, process.accounts, {d.line for d in ordered_state if id(d) in process.invalid}))
     rows = chunks.mapInArrow(_each(name, starts, known), _SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
-    present = {r.part for r in rows.select("part").distinct().collect()}
+    present = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     if "error" in present:
         unread = _first([Unread(name, r.message, r.lineno) for r in rows.filter("part = 'error'").select("message", "lineno").collect()])
         return as_ledger(spark.createDataFrame([tuple(r.get(c) for c in FORM) for r in rows_of(name, [unread])], ", ".join(f"`{c}` {t}" for c, t in FORM.items())))
     chunks.unpersist()
-    every = rows.unionByName(_reduced(spark, rows, known).persist(StorageLevel.MEMORY_AND_DISK)) if "reducing" in present else rows
+    every = rows.unionByName(_reduced(spark, rows, known, present["reducing"] <= _FEW).persist(StorageLevel.MEMORY_AND_DISK)) if "reducing" in present else rows
     numbered = _numbered(every, rows)
     entries, prices = (numbered.filter(F.col("part") == x).withColumn("ord", F.col("entry_id")) for x in ("entry", "price"))
     own = [F.col("posting")[c].alias(c) for c in _OWN]

@@ -206,6 +206,16 @@ def test_reductions_without_lots_are_not_one_task(spark):
     assert sorted(r.lineno for r in pieces._in_vain(spark, rows, gains).filter("vain").collect()) == [1]
 
 
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_few_and_many_reductions(spark, monkeypatch, few):
+    monkeypatch.setattr(pieces, "_FEW", few)
+    vain, kept = [], pieces._in_vain
+    monkeypatch.setattr(pieces, "_in_vain", lambda *given: vain.append(1) or kept(*given))
+    texts = [*made(30), *made_runs(330)[1:-1], '2022-01-01 * "no lots"\n  Assets:Other  -1 YY {}\n  Equity:Rest']
+    assert content(in_pieces(spark, texts)) == content(loader.load_text(spark, "\n".join(texts) + "\n", "book"))
+    assert len(vain) == (few == 0)  # needs joins that a few can do without
+
+
 def test_dates_of_lots_by_heaps():
     import random
     import time
