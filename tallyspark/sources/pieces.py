@@ -367,7 +367,7 @@ def _numbered(rows: DataFrame, counts: DataFrame) -> DataFrame:
     days = Window.orderBy("date", "priority").rowsBetween(Window.unboundedPreceding, -1)
     tasks = Window.partitionBy("date", "priority").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     before = by_day.select("date", "priority", F.coalesce(F.sum("n").over(days), F.lit(0)).alias("day"))
-    base = counts.join(F.broadcast(before), ["date", "priority"]).select("date", "priority", "pid", (F.col("day") + F.coalesce(F.sum("n").over(tasks), F.lit(0))).alias("earlier"))
+    base = counts.join(F.broadcast(before), ["date", "priority"]).select("date", "priority", "pid", (F.col("day") + F.coalesce(F.sum("n").over(tasks), F.lit(0))).alias("earlier")).coalesce(1).persist()
     rows = rows.filter("part IN ('entry', 'price')").join(F.broadcast(base), ["date", "priority", "pid"])
     return rows.withColumn("entry_id", F.col("earlier") + F.col("rank"))
 
