@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.booking import LotCost
 from tallyspark.operators.processing import Account
-from tallyspark.plans import values as V
 from tallyspark.sources import ledger_text as T
 from tallyspark.sources.config import Config
 from tallyspark.sources.plain import _FLAT, _TWO, MOST, SCALE, Plain
@@ -396,13 +395,25 @@ def _quoted(x: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
+def _whole(x: Column) -> Column:
+    """A number of these with all ten places, as an integer."""
+    return (x["number"] * F.lit(10**SCALE)).cast("bigint")
+
+
+def _written(x: Column) -> Column:
+    """A number as it was written; a cast to text may give an exponent."""
+    n, ten = F.abs(_whole(x)), F.lit(10**SCALE)
+    places = F.substring(F.lpad((n % ten).cast("string"), SCALE, "0"), F.lit(1), x["scale"])
+    return F.concat(F.when(x["number"] < 0, "-").otherwise(""), F.call_function("div", n, ten).cast("string"), F.when(x["scale"] > 0, F.concat(F.lit("."), places)).otherwise(""))
+
+
 def text_of() -> Column:
     """The text of a transaction of these, as ``directive_text``; null, if it is of others."""
-    shown = lambda x: F.concat(V.plain(x["number"], x["scale"]), F.lit(" "), x["currency"])
+    shown = lambda x: F.concat(_written(x), F.lit(" "), x["currency"])
 
     def line(p: Column) -> Column:
         head = F.concat(F.lit("\n  "), F.when(p["posting_flag"] != "", F.concat(p["posting_flag"], F.lit(" "))).otherwise(""), p["account"], F.lit("  "))
-        number = V.plain(p["number"], p["scale"])
+        number = _written(p)
         room = F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(_WIDTH + 1) - F.length(head) - F.length(number)))
         cost = F.when(p["cost"].isNotNull(), F.concat(F.lit(" {"), shown(p["cost"]), F.lit(", "), p["cost"]["date"].cast("string"), F.lit("}"))).otherwise("")
         price = F.when(p["price"].isNotNull(), F.concat(F.lit(" @ "), shown(p["price"]))).otherwise("")
@@ -420,7 +431,7 @@ def gains_of(rows: DataFrame) -> DataFrame:
     """What accounts gain at cost in these transactions, as rows ``gained``."""
     p = F.get("postings", F.lit(0))
     cost = p["cost"]
-    whole = lambda x: [(x["number"] * F.lit(10**SCALE)).cast("bigint").cast("string"), x["scale"].cast("string")]
+    whole = lambda x: [_whole(x).cast("string"), x["scale"].cast("string")]
     payload = F.concat_ws(_SEPARATOR, p["currency"], *whole(p), *whole(cost), cost["currency"], cost["date"].cast("string"))
     found = rows.filter(F.col("marks").isNotNull() & cost.isNotNull())
     return found.select(F.lit("gained").alias("part"), "date", "lineno", p["account"].alias("account"), F.encode(payload, "UTF-8").alias("payload"))

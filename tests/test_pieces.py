@@ -176,6 +176,16 @@ def test_runs_of_transactions_as_one_by_one(spark, end):
     assert len(found["entries"]) > 400 and found == content(loader.load_text(spark, "\n".join(texts) + "\n", "book"))
 
 
+def test_texts_of_small_numbers(spark):
+    texts = ["2020-01-01 open Assets:A\n2020-01-01 open Assets:B", *[f"2020-03-01 * \"small\"\n  Assets:A  {n} USD\n  Assets:B\n" for n in ("0.0000001", "-0.0000000100", "12.50", "-3", "922337203.6854775") * 5]]
+    want = [r.text for r in loader.load_text(spark, "\n".join(texts) + "\n", "book").entries.orderBy("ord").collect()]
+    spark.conf.set("spark.sql.ansi.enabled", "false")  # where a cast to text gives 1.000E-7
+    try:
+        assert [r.text for r in in_pieces(spark, texts).entries.orderBy("ord").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 @pytest.mark.parametrize("chunk", [1, 3000])
 def test_short_runs(spark, monkeypatch, chunk):
     monkeypatch.setattr(pieces, "_CHUNK", chunk)
